@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neumatic.llm import packing, quality_rules
+from neumatic.llm import decontaminate, packing, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.assess(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    path = warc.write(pages, revisit_from_bytes=0)
+    return warc.report(warc.read(spark, path, with_payload=False), pages.schema["page_id"].dataType.simpleString())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op6_decontamination, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
