@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neumatic.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules, warc
+from neumatic.llm import decontaminate, katz, line_dedup, ngram_join, packing, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     path = warc.write(pages, revisit_from_bytes=0)
@@ -40,7 +44,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op6_decontamination, op7_ngram_jaccard, op8_line_dedup, op10_warc)}
+    return {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op6_decontamination, op7_ngram_jaccard, op8_line_dedup, op9_katz_backoff, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
