@@ -6,13 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from neumatic.llm import decontaminate, katz, line_dedup, ngram_join, packing, quality_rules, warc
+from neumatic.llm import decontaminate, html_extract, katz, license_scan, line_dedup, ngram_join, packing, quality_pu, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_pu.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -44,8 +56,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_best_fit_packing, op5_quality_rules, op6_decontamination, op7_ngram_jaccard, op8_line_dedup, op9_katz_backoff, op10_warc)}
+    return {f.__name__: f for f in (op1_license_scan, op2_quality_pu, op3_html_extraction, op4_best_fit_packing, op5_quality_rules, op6_decontamination, op7_ngram_jaccard, op8_line_dedup, op9_katz_backoff, op10_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_scan.oracle()}
