@@ -1,11 +1,566 @@
-"""Every query of the library by name, and the SQL that repeats it."""
+"""Every query of the library by name, and the SQL that repeats it.
+
+Melodies are whole documents read as chants (``sources.views``).  Results are
+flat: arrays are joined by spaces and doubles rounded, so that engines compare.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from neumatic.functions import features, neume, represent, segment
+from neumatic.functions.alphabet import FLAT_OF_NOTE, INTERVAL_CODES, PITCHES, char_class, characters
+from neumatic.operators import analysis, embed, filters, knn, metrics, models, split, tfidf
+from neumatic.plans import experiment
+from neumatic.sources.views import MELODIES_SQL, melodies, table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(function: Query) -> Query:
+        QUERIES[name] = function
+        if sql:
+            SQL[name] = sql
+        return function
+
+    return add
 
-def queries() -> dict:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+# ---- SQL pieces ----
+
+_CHARS = "".join(PITCHES)
+_CODES = "".join(chr(p) for p in PITCHES.values())
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def sql_expand(column: str, omit: bool) -> str:
+    out = column
+    for note, flat in FLAT_OF_NOTE.items():
+        nat = flat.upper()
+        sounded = f"translate(substr(p, 2), '{note}', '{flat}')" if omit else f"replace(substr(p, 2), '{note}', '{flat}{note}')"
+        out = f"array_to_string(list_transform(string_split(regexp_replace({out}, '([{flat}{nat}3456])', chr(1) || '\\1', 'g'), chr(1)), lambda p: CASE WHEN starts_with(p, '{flat}') THEN {sounded} WHEN starts_with(p, '{nat}') THEN substr(p, 2) ELSE p END), '')"
+    return out
+
+
+def sql_strip(column: str, kept: str) -> str:
+    return f"regexp_replace({column}, {q(char_class(kept, negate=True))}, '', 'g')"
+
+
+_PROCESSED = sql_strip(sql_expand("volpiano", True), neume.KEPT + "-")
+WITH_M = f"WITH m AS ({MELODIES_SQL})"
+WITH_P = f"{WITH_M}, p AS (SELECT id, {_PROCESSED} AS pv FROM m WHERE volpiano IS NOT NULL)"
+WITH_N = f"{WITH_P}, n AS (SELECT id, replace(pv, '-', '') AS notes FROM p)"
+
+
+def sql_units(kind: str) -> str:
+    return f"list_filter(list_transform(string_split_regex(pv, '{segment.NATURAL[kind]}'), lambda u: replace(u, '-', '')), lambda u: u <> '')"
+
+
+#: (id, pos, pitch): a row per note.
+WITH_PITCH = f"""{WITH_N}, pitch AS (SELECT id, pos, ascii(substr(c, CAST(pos AS INTEGER), 1)) AS pitch
+  FROM (SELECT id, c, unnest(range(1, length(c) + 1)) AS pos FROM (SELECT id, translate(notes, {q(_CHARS)}, {q(_CODES)}) AS c FROM n)))"""
+#: (id, unit_no, pos, pitch): a row per note of each word.
+WITH_WORDS = f"""{WITH_P}, w AS (SELECT id, unnest(range(1, len(u) + 1)) AS unit_no, unnest(u) AS unit FROM (SELECT id, {sql_units('words')} AS u FROM p)),
+letters AS (SELECT id, unit_no, pos, ascii(translate(substr(unit, CAST(pos AS INTEGER), 1), {q(_CHARS)}, {q(_CODES)})) AS pitch
+  FROM (SELECT id, unit_no, unit, unnest(range(1, length(unit) + 1)) AS pos FROM w))"""
+
+
+def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return melodies(spark, sf_dir).where("volpiano is not null").select("id", neume.process(F.col("volpiano")).alias("pv"))
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return processed(spark, sf_dir).select("id", neume.notes_only(F.col("pv")).alias("notes"))
+
+
+def six(column: str | Column) -> Column:
+    return F.round(column, 6)
+
+
+# ---- melody strings ----
+
+
+@query("process_volpiano", f"{WITH_P} SELECT id, pv FROM p")
+def _(spark, sf_dir):
+    return processed(spark, sf_dir)
+
+
+_STATES = ", ".join(f"last_value(CASE WHEN ch IN ('{f}', '{f.upper()}', '3', '4', '5', '6') THEN ch END IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s{f}" for f in FLAT_OF_NOTE.values())
+_SOUNDS = " ".join(f"WHEN ch = '{n}' AND s{f} = '{f}' THEN '{f}{n}'" for n, f in FLAT_OF_NOTE.items())
+
+
+@query("expand_accidentals_full", f"""{WITH_M}, c AS (SELECT id, unnest(range(1, length(volpiano) + 1)) AS pos, unnest(string_split(volpiano, '')) AS ch FROM m WHERE volpiano IS NOT NULL),
+s AS (SELECT id, pos, ch, {_STATES} FROM c)
+SELECT id, string_agg(CASE WHEN ch IN ('i', 'w', 'x', 'y', 'z', 'I', 'W', 'X', 'Y', 'Z') THEN '' {_SOUNDS} ELSE ch END, '' ORDER BY pos) AS expanded FROM s GROUP BY id""")
+def _(spark, sf_dir):
+    return melodies(spark, sf_dir).where("volpiano is not null").select("id", neume.expand_accidentals(F.col("volpiano")).alias("expanded"))
+
+
+_CLEAN = f"regexp_replace(volpiano, {q(char_class(neume.KEPT + '-', negate=True))}, '', 'g')"
+
+
+@query("clean_volpiano_boundaries", f"{WITH_M} SELECT id, replace(replace(replace({_CLEAN}, '---', '$'), '--', '/'), '-', '.') AS cleaned FROM m WHERE volpiano IS NOT NULL")
+def _(spark, sf_dir):
+    cleaned = neume.clean(F.col("volpiano"), keep_boundaries=True, neume=".", syllable="/", word="$")
+    return melodies(spark, sf_dir).where("volpiano is not null").select("id", cleaned.alias("cleaned"))
+
+
+@query("contains_notes", f"{WITH_M} SELECT id, regexp_matches(volpiano, {q(char_class(characters('notes', 'liquescents')))}) AS has_notes, NOT regexp_matches(volpiano, {q(char_class(characters('notes', 'liquescents', 'flats', 'naturals')))}) AS has_none FROM m")
+def _(spark, sf_dir):
+    v = F.col("volpiano")
+    return melodies(spark, sf_dir).select("id", neume.contains_notes(v, False).alias("has_notes"), neume.has_no_notes(v).alias("has_none"))
+
+
+@query("split_volpiano", f"{WITH_P} SELECT id, array_to_string(string_split(regexp_replace(pv, '-*$', ''), '---'), '---|') || regexp_extract(pv, '(-*)$', 1) AS parts FROM p")
+def _(spark, sf_dir):
+    return processed(spark, sf_dir).select("id", F.array_join(neume.split_melody(F.col("pv"), "---"), "|").alias("parts"))
+
+
+# ---- segmentations ----
+
+for _kind in segment.NATURAL:
+    @query(f"segment_{_kind}", f"{WITH_P} SELECT id, array_to_string({sql_units(_kind)}, ' ') AS units FROM p")
+    def _(spark, sf_dir, kind=_kind):
+        return processed(spark, sf_dir).select("id", F.array_join(segment.natural(F.col("pv"), kind), " ").alias("units"))
+
+for _k in (1, 2, 3, 4, 6, 10, 16):
+    @query(f"segment_kmers_{_k}", f"{WITH_N} SELECT id, array_to_string(regexp_extract_all(notes, '.{{1,{_k}}}'), ' ') AS units FROM n")
+    def _(spark, sf_dir, k=_k):
+        return notes(spark, sf_dir).select("id", F.array_join(segment.kmers(F.col("notes"), k), " ").alias("units"))
+
+for _mean in segment.POISSON_MEANS:
+    _CDF = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in segment.poisson_cdf(_mean - 1)) + "]"
+
+    @query(f"segment_poisson_{_mean}", f"""{WITH_N}, steps AS (SELECT id, notes, unnest(range(0, length(notes))) AS unit_no FROM n WHERE length(notes) > 0),
+sized AS (SELECT id, notes, unit_no, 1 + len(list_filter({_CDF}, lambda x: x <= u)) AS size
+  FROM (SELECT *, CAST(('0x' || substr(md5(id || '|' || unit_no || '|0'), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM steps)),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized)
+SELECT id, CAST(unit_no AS INTEGER) AS unit_no, substr(notes, CAST(start AS INTEGER) + 1, CAST(size AS INTEGER)) AS unit FROM placed WHERE start < length(notes)""")
+    def _(spark, sf_dir, mean=_mean):
+        return segment.poisson(notes(spark, sf_dir), mean)
+
+
+@query("unit_counts", f"{WITH_P} SELECT id, " + ", ".join(f"CAST(len({sql_units(k)}) AS BIGINT) AS n_{k}" for k in segment.NATURAL) + ", CAST(ceil(length(replace(pv, '-', '')) / 4.0) AS BIGINT) AS n_4mers FROM p")
+def _(spark, sf_dir):
+    df = processed(spark, sf_dir)
+    return df.select("id", *(F.size(segment.natural(F.col("pv"), k)).cast("long").alias(f"n_{k}") for k in segment.NATURAL), F.size(segment.kmers(neume.notes_only(F.col("pv")), 4)).cast("long").alias("n_4mers"))
+
+
+# ---- representations ----
+
+
+@query("volpiano_to_midi", f"{WITH_PITCH} SELECT id, string_agg(CAST(pitch AS VARCHAR), ' ' ORDER BY pos) AS pitches FROM pitch GROUP BY id")
+def _(spark, sf_dir):
+    df = notes(spark, sf_dir).where("notes <> ''")
+    return df.select("id", F.array_join(F.transform(represent.pitches(F.col("notes")), lambda x: x.cast("string")), " ").alias("pitches"))
+
+
+def _sql_code(kind: str, value: str) -> str:
+    if kind == "contour":
+        return f"CASE WHEN {value} IS NULL THEN '.' WHEN {value} = 0 THEN '-' WHEN {value} > 0 THEN '⌃' ELSE '⌄' END"
+    return f"CASE WHEN {value} IS NULL THEN '.' WHEN abs({value}) > 23 THEN '?' ELSE substr({q(INTERVAL_CODES)}, CAST({value} + 24 AS INTEGER), 1) END"
+
+
+for _kind in ("interval", "contour"):
+    for _dependent in (True, False):
+        _over = "PARTITION BY id ORDER BY unit_no, pos" if _dependent else "PARTITION BY id, unit_no ORDER BY pos"
+        _d = f"pitch - coalesce(lag(pitch) OVER ({_over}), pitch)" if _dependent else f"pitch - lag(pitch) OVER ({_over})"
+
+        @query(f"{_kind}_{'dependent' if _dependent else 'independent'}", f"""{WITH_WORDS}, d AS (SELECT id, unit_no, pos, {_d} AS d FROM letters),
+u AS (SELECT id, unit_no, string_agg({_sql_code(_kind, 'd')}, '' ORDER BY pos) AS u FROM d GROUP BY id, unit_no)
+SELECT id, string_agg(u, ' ' ORDER BY unit_no) AS units FROM u GROUP BY id""")
+        def _(spark, sf_dir, kind=_kind, dependent=_dependent):
+            units = processed(spark, sf_dir).select("id", segment.natural(F.col("pv"), "words").alias("u")).where(F.size("u") > 0)
+            return units.select("id", F.array_join(represent.representation(F.col("u"), kind, dependent, strict=False), " ").alias("units"))
+
+
+@query("char_table", f"{WITH_P} SELECT id, array_to_string(list_transform(range(1, 101), lambda i: CASE WHEN i <= length(pv) THEN CAST(ascii(substr(pv, CAST(i AS INTEGER), 1)) AS VARCHAR) ELSE '_' END), ' ') AS codes FROM p")
+def _(spark, sf_dir):
+    codes = represent.char_table(F.col("pv"))
+    return processed(spark, sf_dir).select("id", F.array_join(F.transform(codes, lambda c: F.coalesce(c.cast("string"), F.lit("_"))), " ").alias("codes"))
+
+
+# ---- features ----
+
+
+def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = notes(spark, sf_dir).where("notes <> ''").select("id", represent.pitch_string(F.col("notes")).alias("coded"))
+    return df.select("id", "coded", F.transform(F.filter(F.split("coded", ""), lambda c: c != ""), F.ascii).alias("p"))
+
+
+@query("classical_features", f"{WITH_PITCH} SELECT id, arg_min(pitch, pos) AS initial, arg_max(pitch, pos) AS final, min(pitch) AS lowest, max(pitch) AS highest, max(pitch) - min(pitch) AS ambitus FROM pitch GROUP BY id")
+def _(spark, sf_dir):
+    return coded(spark, sf_dir).select("id", *(c.alias(n) for n, c in features.classical(F.col("p")).items()))
+
+
+@query("initial_gesture", f"{WITH_PITCH} SELECT id, " + ", ".join(f"max(CASE WHEN pos = {i} THEN pitch END) AS initial_gesture_{i}" for i in (1, 2, 3)) + " FROM pitch GROUP BY id")
+def _(spark, sf_dir):
+    return coded(spark, sf_dir).select("id", *(c.alias(n) for n, c in features.gesture(F.col("p")).items()))
+
+
+@query("pitch_profile", f"{WITH_PITCH} SELECT id, " + ", ".join(f"round(count(*) FILTER (WHERE pitch = {p}) / CAST(count(*) AS DOUBLE), 6) AS freq_MIDI_{p}" for p in features.PITCH_RANGE) + " FROM pitch GROUP BY id")
+def _(spark, sf_dir):
+    return coded(spark, sf_dir).select("id", *(six(c).alias(n) for n, c in features.pitch_profile(F.col("coded")).items()))
+
+
+@query("pitch_class_profile", f"{WITH_PITCH} SELECT id, " + ", ".join(f"round(count(*) FILTER (WHERE pitch % 12 = {c}) / CAST(count(*) AS DOUBLE), 6) AS freq_pitch_class_{c}" for c in range(12)) + " FROM pitch GROUP BY id")
+def _(spark, sf_dir):
+    return coded(spark, sf_dir).select("id", *(six(c).alias(n) for n, c in features.pitch_class_profile(F.col("coded")).items()))
+
+
+@query("repetition_profile", f"{WITH_PITCH}, r AS (SELECT id, pitch, lag(pitch) OVER (PARTITION BY id ORDER BY pos) AS before FROM pitch) SELECT id, " + ", ".join(f"round(count(*) FILTER (WHERE pitch = {p} AND before = {p}) / CAST(nullif(count(*) - 1, 0) AS DOUBLE), 6) AS repetition_score_MIDI_{p}" for p in features.PITCH_RANGE) + " FROM r GROUP BY id")
+def _(spark, sf_dir):
+    return coded(spark, sf_dir).select("id", *(six(c).alias(n) for n, c in features.repetition_profile(F.col("coded")).items()))
+
+
+# ---- filters, samples, splits ----
+
+_KEEP = [
+    ("has melody", "volpiano IS NOT NULL"),
+    ("has notes", f"coalesce(regexp_matches(volpiano, {q(char_class(characters('notes', 'liquescents')))}), false)"),
+    ("simple mode", "coalesce(regexp_matches(mode, '^[1-8]$'), false)"),
+    ("has full text", "full_text IS NOT NULL"),
+    ("incipit is not all", "(full_text IS NULL OR incipit IS NULL OR full_text <> incipit)"),
+    ("genre", "coalesce(genre_id = 'en', false)"),
+    ("starts with G clef", "coalesce(starts_with(volpiano, '1'), false)"),
+    ("no F clef", "NOT coalesce(contains(volpiano, '2'), false)"),
+    ("no missing pitches", "coalesce(NOT contains(volpiano, '6------6'), false)"),
+    ("only alphabet", f"coalesce(regexp_full_match(volpiano, {q(char_class(characters()) + '*')}), false)"),
+    ("has word boundary", "coalesce(contains(volpiano, '---'), false)"),
+]
+_UPTO = ["true", *(" AND ".join(k for _, k in _KEEP[:i]) for i in range(1, len(_KEEP) + 1))]
+
+
+@query("filter_funnel", WITH_M + " " + " UNION ALL ".join(f"SELECT {i} AS step_no, '{name}' AS step, count(*) FILTER (WHERE {_UPTO[i - 1]}) AS before, count(*) FILTER (WHERE {_UPTO[i]}) AS after, count(*) FILTER (WHERE {_UPTO[i - 1]}) - count(*) FILTER (WHERE {_UPTO[i]}) AS removed FROM m" for i, (name, _) in enumerate(_KEEP, 1)))
+def _(spark, sf_dir):
+    return filters.funnel(melodies(spark, sf_dir), filters.pipeline("en"))
+
+
+@query("filter_chants", f"{WITH_M}, k AS (SELECT id, {sql_strip('volpiano', neume.KEPT)} AS bare FROM m WHERE {' AND '.join(k for n, k in _KEEP if n not in ('only alphabet', 'no F clef'))}) SELECT min(id) AS id FROM k GROUP BY bare")
+def _(spark, sf_dir):
+    kept = melodies(spark, sf_dir)
+    for name, keep in filters.pipeline("en"):
+        if name not in ("only alphabet", "no F clef"):  # no document of prose passes these two
+            kept = kept.where(keep)
+    return filters.unique_notes(kept).select("id")
+
+
+for _name, _column, _where in (
+    ("filter_genre", lambda: filters.of_genre(["en", "fr"]), "coalesce(genre_id IN ('en', 'fr'), false)"),
+    ("filter_genre_exclude", lambda: filters.of_genre(exclude=["en"]), "NOT coalesce(genre_id = 'en', false)"),
+    ("filter_simple_mode", lambda: filters.simple_mode(), "coalesce(regexp_matches(mode, '^[1-8]T?$'), false)"),
+    ("filter_incipit", lambda: filters.incipit_is_not_all(), _KEEP[4][1]),
+    ("filter_f_clef", lambda: filters.no_f_clef(), _KEEP[7][1]),
+    ("filter_g_clef", lambda: filters.starts_with_g_clef(), _KEEP[6][1]),
+    ("filter_missing_pitches", lambda: filters.no_missing_pitches(), _KEEP[8][1]),
+    ("filter_alphabet", lambda: ~filters.only_alphabet(), f"NOT {_KEEP[9][1]}"),
+    ("filter_full_text", lambda: filters.has_full_text(), _KEEP[3][1]),
+    ("filter_word_boundary", lambda: filters.has_word_boundary(), _KEEP[10][1]),
+    ("filter_has_notes", lambda: filters.has_melody() & filters.has_notes(), f"{_KEEP[0][1]} AND {_KEEP[1][1]}"),
+):
+    @query(_name, f"{WITH_M} SELECT id, mode, genre_id FROM m WHERE {_where}")
+    def _(spark, sf_dir, column=_column):
+        return melodies(spark, sf_dir).where(column()).select("id", "mode", "genre_id")
+
+
+@query("dedup_notes", f"{WITH_M} SELECT min(id) AS id FROM m WHERE volpiano IS NOT NULL GROUP BY {sql_strip('volpiano', neume.KEPT)}")
+def _(spark, sf_dir):
+    return filters.unique_notes(melodies(spark, sf_dir).where("volpiano is not null")).select("id")
+
+
+@query("sample_per_mode_cantus", f"{WITH_M} SELECT cantus_id, mode, id FROM (SELECT *, row_number() OVER (PARTITION BY cantus_id, mode ORDER BY md5('0|' || id), id) AS r FROM m WHERE cantus_id IS NOT NULL) WHERE r = 1")
+def _(spark, sf_dir):
+    return filters.one_per_mode_and_family(melodies(spark, sf_dir)).select("cantus_id", "mode", "id")
+
+
+@query("train_test_split", f"{WITH_M} SELECT id, row_number() OVER (ORDER BY md5('0|' || id)) <= round_even(0.7 * count(*) OVER (), 0) AS is_train FROM m")
+def _(spark, sf_dir):
+    return split.exact_sample(melodies(spark, sf_dir).select("id"), 0.7).select("id", "is_train")
+
+
+@query("stratified_folds", f"{WITH_M} SELECT id, genre_id, CAST((row_number() OVER (PARTITION BY genre_id ORDER BY md5('0|' || id), id) - 1) % 5 AS INTEGER) AS fold FROM m")
+def _(spark, sf_dir):
+    return split.stratified_folds(melodies(spark, sf_dir).select("id", "genre_id"), "genre_id", 5).select("id", "genre_id", "fold")
+
+
+# ---- tf-idf ----
+
+
+def word_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return processed(spark, sf_dir).select("id", segment.natural(F.col("pv"), "words").alias("units"))
+
+
+_TF = f"""{WITH_P}, tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({sql_units('words')}) AS term FROM p) GROUP BY id, term),
+voc AS (SELECT term, CAST(sum(tf) AS BIGINT) AS ctf, count(*) AS df FROM tf GROUP BY term ORDER BY ctf DESC, term LIMIT 5000)"""
+
+
+@query("tfidf_vocab_topk", f"{_TF} SELECT term, ctf, df FROM voc")
+def _(spark, sf_dir):
+    return tfidf.vocabulary(tfidf.term_counts(word_units(spark, sf_dir)))
+
+
+@query("tfidf_weights", f"{_TF}, x AS (SELECT id, term, tf * (ln((1.0 + (SELECT count(*) FROM p)) / (1.0 + df)) + 1) AS x FROM tf JOIN voc USING (term)) SELECT id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS weight FROM x")
+def _(spark, sf_dir):
+    return tfidf.tfidf(word_units(spark, sf_dir)).select("id", "term", six("weight").alias("weight"))
+
+
+# ---- nearest neighbours and scores ----
+
+_NEAR = "WITH d AS (SELECT a.vec_id AS query, b.vec_id AS train, b.label AS label, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d FROM embeddings a, embeddings b WHERE a.vec_id % 10 >= 7 AND b.vec_id % 10 < 7), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, train) AS r FROM d) WHERE r <= 10)"
+
+
+def near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return knn.neighbours(rows.where("vec_id % 10 < 7"), rows.where("vec_id % 10 >= 7"), 10)
+
+
+@query("knn_neighbours", f"{_NEAR} SELECT query, train, label, round(d, 6) AS distance FROM near")
+def _(spark, sf_dir):
+    return near(spark, sf_dir).select("query", "train", "label", six("distance").alias("distance"))
+
+
+@query("knn_uniform", f"{_NEAR}, v AS (SELECT query, label, count(*) AS n FROM near GROUP BY query, label) SELECT query, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, label) AS r FROM v) WHERE r = 1")
+def _(spark, sf_dir):
+    return knn.vote(near(spark, sf_dir))
+
+
+@query("knn_distance", f"{_NEAR}, z AS (SELECT *, max(CASE WHEN d = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY query) AS zero FROM near), v AS (SELECT query, label, round(sum(CASE WHEN zero = 1 THEN CASE WHEN d = 0 THEN 1.0 ELSE 0.0 END ELSE 1.0 / nullif(d, 0) END), 6) AS w FROM z GROUP BY query, label) SELECT query, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY w DESC, label) AS r FROM v) WHERE r = 1")
+def _(spark, sf_dir):
+    return knn.vote(near(spark, sf_dir), "distance")
+
+
+def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and a simple prediction of them, to score."""
+    labels = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return labels.select(F.col("quality").alias("y"), F.when(F.col("n_chars") % 5 > 0, 1).otherwise(0).alias("p"))
+
+
+_SAID = "WITH s AS (SELECT quality AS y, CASE WHEN n_chars % 5 > 0 THEN 1 ELSE 0 END AS p FROM labels JOIN documents USING (doc_id))"
+_CLASSES = f"{_SAID}, l AS (SELECT DISTINCT y AS label FROM s UNION SELECT DISTINCT p FROM s), c AS (SELECT label, (SELECT count(*) FROM s WHERE y = label AND p = label) AS h, (SELECT count(*) FROM s WHERE y = label) AS support, (SELECT count(*) FROM s WHERE p = label) AS said FROM l), r AS (SELECT label, coalesce(h / CAST(nullif(said, 0) AS DOUBLE), 0) AS precision_, coalesce(h / CAST(nullif(support, 0) AS DOUBLE), 0) AS recall, support FROM c), f AS (SELECT *, coalesce(2 * precision_ * recall / nullif(precision_ + recall, 0), 0) AS f1 FROM r)"
+
+
+@query("accuracy", f"{_SAID} SELECT round(avg(CASE WHEN y = p THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM s")
+def _(spark, sf_dir):
+    return metrics.accuracy(said(spark, sf_dir)).select(six("accuracy").alias("accuracy"))
+
+
+@query("confusion_matrix", f"{_SAID} SELECT y, p, count(*) AS n FROM s GROUP BY y, p")
+def _(spark, sf_dir):
+    return metrics.confusion(said(spark, sf_dir))
+
+
+@query("classification_report", f"{_CLASSES} SELECT label, round(precision_, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, support FROM f")
+def _(spark, sf_dir):
+    df = metrics.by_class(said(spark, sf_dir))
+    return df.select("label", *(six(c).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
+@query("weighted_scores", f"{_CLASSES} SELECT round(sum(recall * support) / sum(support), 6) AS accuracy, round(sum(precision_ * support) / sum(support), 6) AS weighted_precision, round(sum(recall * support) / sum(support), 6) AS weighted_recall, round(sum(f1 * support) / sum(support), 6) AS weighted_f1 FROM f")
+def _(spark, sf_dir):
+    df = metrics.scores(said(spark, sf_dir))
+    return df.select(*(six(c).alias(c) for c in df.columns))
+
+
+# ---- descriptive statistics ----
+
+
+@query("majority_baseline", "WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY c_nationkey) AS total, row_number() OVER (PARTITION BY c_nationkey ORDER BY n DESC, c_mktsegment) AS r FROM c) SELECT c_nationkey, c_mktsegment AS majority, round(n / CAST(total AS DOUBLE), 6) AS share FROM r WHERE r = 1")
+def _(spark, sf_dir):
+    df = analysis.majority(table(spark, sf_dir, "customer"), ["c_nationkey"], "c_mktsegment")
+    return df.select("c_nationkey", "majority", six("share").alias("share"))
+
+
+@query("dataset_statistics", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS total, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag))")
+def _(spark, sf_dir):
+    df = analysis.statistics(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_returnflag"], "l_quantity")
+    return df.select("l_returnflag", "l_linestatus", "n", F.round("total", 2).alias("total"), six("mean").alias("mean"))
+
+
+def unit_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = processed(spark, sf_dir)
+    out = None
+    for kind in segment.NATURAL:
+        part = df.select("id", F.lit(kind).alias("unit"), F.explode(segment.natural(F.col("pv"), kind)).alias("u")).select("id", "unit", F.length("u").alias("length"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+_LENGTHS = f"{WITH_P}, l AS (" + " UNION ALL ".join(f"SELECT id, '{k}' AS unit, length(u) AS length FROM (SELECT id, unnest({sql_units(k)}) AS u FROM p)" for k in segment.NATURAL) + ")"
+
+
+@query("unit_length_pivot", f"{_LENGTHS} SELECT genre_id, " + ", ".join(f"round(avg(length) FILTER (WHERE unit = '{k}'), 6) AS {k}" for k in segment.NATURAL) + " FROM l JOIN m USING (id) GROUP BY genre_id")
+def _(spark, sf_dir):
+    genres = melodies(spark, sf_dir).select("id", "genre_id")
+    df = analysis.pivot_mean(unit_lengths(spark, sf_dir).join(genres, "id"), "genre_id", "unit", list(segment.NATURAL), "length")
+    return df.select("genre_id", *(six(k).alias(k) for k in segment.NATURAL))
+
+
+@query("unit_length_hist", f"{_LENGTHS} SELECT unit, CASE WHEN length < 0 THEN 0 WHEN length >= 20 THEN 21 ELSE CAST(floor(length) AS BIGINT) + 1 END AS bucket, count(*) AS n FROM l GROUP BY ALL")
+def _(spark, sf_dir):
+    return analysis.histogram(unit_lengths(spark, sf_dir), "length", 0, 20, 20, ["unit"])
+
+
+@query("chant_length", f"{WITH_M} SELECT id, length({sql_strip(sql_expand('volpiano', False), neume.KEPT)}) AS length FROM m WHERE volpiano IS NOT NULL")
+def _(spark, sf_dir):
+    v = neume.clean(neume.expand_accidentals(F.col("volpiano")))
+    return melodies(spark, sf_dir).where("volpiano is not null").select("id", F.length(v).alias("length"))
+
+
+@query("feature_unpivot_join", f"{WITH_PITCH}, f AS (SELECT id, arg_max(pitch, pos) AS final, min(pitch) AS lowest, max(pitch) AS highest FROM pitch GROUP BY id), u AS (SELECT id, 'final' AS feature, final AS value FROM f UNION ALL SELECT id, 'lowest', lowest FROM f UNION ALL SELECT id, 'highest', highest FROM f) SELECT mode, feature, value, count(*) AS n FROM u LEFT JOIN m USING (id) GROUP BY ALL")
+def _(spark, sf_dir):
+    own = features.classical(F.col("p"))
+    wide = coded(spark, sf_dir).select("id", *(own[n].alias(n) for n in ("final", "lowest", "highest")))
+    long = analysis.unpivot(wide, ["id"], ["final", "lowest", "highest"])
+    return long.join(melodies(spark, sf_dir).select("id", "mode"), "id", "left").groupBy("mode", "feature", "value").agg(F.count("*").alias("n"))
+
+
+@query("profile_bars", f"{WITH_PITCH}, sizes AS (SELECT id, count(*) AS size FROM pitch GROUP BY id), c AS (SELECT id, pitch, count(*) AS k FROM pitch GROUP BY id, pitch) SELECT pitch, count(*) AS chants, round(avg(k / CAST(size AS DOUBLE)), 6) AS mean, round(avg(k / CAST(size AS DOUBLE)) - 1.96 * stddev_samp(k / CAST(size AS DOUBLE)) / sqrt(count(*)), 6) AS low FROM c JOIN sizes USING (id) WHERE pitch > 59 AND pitch < 80 GROUP BY pitch")
+def _(spark, sf_dir):
+    c = coded(spark, sf_dir)
+    rows = c.select("id", F.size("p").alias("size"), F.explode("p").alias("pitch")).groupBy("id", "size", "pitch").agg(F.count("*").alias("k"))
+    rows = rows.where("pitch > 59 and pitch < 80").withColumn("share", F.col("k") / F.col("size"))
+    half = 1.96 * F.stddev_samp("share") / F.sqrt(F.count("*"))
+    return rows.groupBy("pitch").agg(F.count("*").alias("chants"), six(F.avg("share")).alias("mean"), six(F.avg("share") - half).alias("low"))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as five runs: a score for each priority and status."""
+    orders = table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).alias("run"), "o_orderpriority", "o_orderstatus", (F.col("o_totalprice") / 1e6).alias("score"))
+    return orders.groupBy("run", "o_orderpriority", "o_orderstatus").agg(F.avg("score").alias("score"))
+
+
+_RUNS = "WITH r AS (SELECT o_orderkey % 5 AS run, o_orderpriority, o_orderstatus, avg(o_totalprice / 1e6) AS score FROM orders GROUP BY ALL)"
+
+
+@query("runs_mean_std", f"{_RUNS} SELECT o_orderpriority, o_orderstatus, round(100 * avg(score), 6) AS score_mean, round(100 * stddev_samp(score), 6) AS score_std FROM r GROUP BY ALL")
+def _(spark, sf_dir):
+    df = analysis.mean_and_deviation(runs(spark, sf_dir), ["o_orderpriority", "o_orderstatus"], ["score"])
+    return df.select("o_orderpriority", "o_orderstatus", six("score_mean").alias("score_mean"), six("score_std").alias("score_std"))
+
+
+@query("score_pivot", f"{_RUNS} SELECT o_orderpriority, " + ", ".join(f"round(avg(score) FILTER (WHERE o_orderstatus = '{s}'), 6) AS {s}" for s in "FOP") + " FROM r GROUP BY o_orderpriority")
+def _(spark, sf_dir):
+    df = analysis.pivot_mean(runs(spark, sf_dir), "o_orderpriority", "o_orderstatus", list("FOP"), "score")
+    return df.select("o_orderpriority", *(six(s).alias(s) for s in "FOP"))
+
+
+@query("highlight_max", f"{_RUNS}, a AS (SELECT o_orderpriority, o_orderstatus, 100 * avg(score) AS score FROM r GROUP BY ALL) SELECT o_orderpriority, o_orderstatus, round(score, 6) AS score, max(score) OVER (PARTITION BY o_orderstatus) - score < 1.0 AS is_top FROM a")
+def _(spark, sf_dir):
+    means = runs(spark, sf_dir).groupBy("o_orderpriority", "o_orderstatus").agg((100 * F.avg("score")).alias("score"))
+    return analysis.near_maximum(means, ["o_orderstatus"], "score").select("o_orderpriority", "o_orderstatus", six("score").alias("score"), "is_top")
+
+
+@query("param_ranks", f"{_RUNS}, a AS (SELECT o_orderpriority, round(avg(score), 6) AS score FROM r GROUP BY ALL) SELECT o_orderpriority, score, CAST(rank() OVER (ORDER BY score DESC) AS INTEGER) AS rank FROM a")
+def _(spark, sf_dir):
+    means = runs(spark, sf_dir).groupBy("o_orderpriority").agg(six(F.avg("score")).alias("score"))
+    return analysis.rank_by(means, "score")
+
+
+@query("duplication_report", f"{WITH_M}, k AS (SELECT cantus_id, count(*) AS n, sum(length(volpiano)) AS size FROM m WHERE cantus_id IS NOT NULL GROUP BY cantus_id) SELECT count(*) AS keys, count(*) FILTER (WHERE n > 1) AS repeated, round(count(*) FILTER (WHERE n > 1) / CAST(count(*) AS DOUBLE), 6) AS share_of_keys, round(CAST(sum(CASE WHEN n > 1 THEN size ELSE 0 END) AS DOUBLE) / CAST(sum(size) AS DOUBLE), 6) AS share_of_size FROM k")
+def _(spark, sf_dir):
+    df = analysis.duplication(melodies(spark, sf_dir).withColumn("size", F.length("volpiano")), "cantus_id", "size")
+    return df.select("keys", "repeated", six("share_of_keys").alias("share_of_keys"), six("share_of_size").alias("share_of_size"))
+
+
+@query("top_families", f"{WITH_M} SELECT cantus_id, count(*) AS n FROM m WHERE cantus_id IS NOT NULL GROUP BY cantus_id ORDER BY n DESC, cantus_id LIMIT 5")
+def _(spark, sf_dir):
+    return analysis.most_frequent(melodies(spark, sf_dir), "cantus_id", 5)
+
+
+@query("family_members", f"{WITH_M}, t AS (SELECT cantus_id FROM m WHERE cantus_id IS NOT NULL GROUP BY cantus_id ORDER BY count(*) DESC, cantus_id LIMIT 5) SELECT id, cantus_id IN (SELECT cantus_id FROM t) AS in_top FROM m WHERE cantus_id IS NOT NULL")
+def _(spark, sf_dir):
+    rows = melodies(spark, sf_dir).where("cantus_id is not null").select("id", "cantus_id")
+    top = analysis.most_frequent(rows, "cantus_id", 5).select("cantus_id")
+    inside = rows.join(F.broadcast(top), "cantus_id", "left_semi").select("id", F.lit(True).alias("in_top"))
+    return inside.unionByName(rows.join(F.broadcast(top), "cantus_id", "left_anti").select("id", F.lit(False).alias("in_top")))
+
+
+@query("value_counts_by_mode", f"{WITH_M} SELECT mode, genre_id, count(*) AS n, count(DISTINCT cantus_id) AS families FROM m GROUP BY mode, genre_id")
+def _(spark, sf_dir):
+    return melodies(spark, sf_dir).groupBy("mode", "genre_id").agg(F.count("*").alias("n"), F.countDistinct("cantus_id").alias("families"))
+
+
+@query("note_names", f"{WITH_PITCH} SELECT pitch, substr('C C#D EbE F F#G AbA BbB ', CAST(pitch % 12 AS INTEGER) * 2 + 1, 2) AS name, count(*) AS n FROM pitch GROUP BY ALL")
+def _(spark, sf_dir):
+    df = coded(spark, sf_dir).select(F.explode("p").alias("pitch")).groupBy("pitch").agg(F.count("*").alias("n"))
+    return df.select("pitch", F.rpad(analysis.note_name(F.col("pitch")), 2, " ").alias("name"), "n")
+
+
+@query("condition_grid", "SELECT p.v AS profile, g.v AS genre, s.v AS subset FROM (VALUES ('pitch'), ('pitch_class'), ('repetition')) p(v), (VALUES ('responsory'), ('antiphon')) g(v), (VALUES ('full'), ('subset')) s(v)")
+def _(spark, sf_dir):
+    return spark.createDataFrame(experiment.conditions("profile"))
+
+
+@query("runs_union", "SELECT 'a' AS run, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'b', c_mktsegment, count(*) FROM customer WHERE c_acctbal > 0 GROUP BY ALL")
+def _(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    count = lambda df: df.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+    return analysis.tagged_union({"a": count(rows), "b": count(rows.where("c_acctbal > 0"))})
+
+
+# ---- models and embeddings: no SQL form ----
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("label"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+
+
+def _predictions(spark: SparkSession, sf_dir: str, model) -> DataFrame:
+    rows = vectors(spark, sf_dir)
+    return model.fit(rows.where("id % 10 < 7")).predict(rows.where("id % 10 >= 7"))
+
+
+@query("random_forest")
+def _(spark, sf_dir):
+    return _predictions(spark, sf_dir, models.Forest(n_estimators=10, max_depth=5))
+
+
+@query("svc_ovr")
+def _(spark, sf_dir):
+    return _predictions(spark, sf_dir, models.LinearMargin(iterations=5))
+
+
+@query("svc_squared")
+def _(spark, sf_dir):
+    return _predictions(spark, sf_dir, models.SquaredMargin(steps=5))
+
+
+@query("cv_tuning")
+def _(spark, sf_dir):
+    rows = split.stratified_folds(vectors(spark, sf_dir), "label", 2).cache()
+    tuned = models.tune(rows, "knn", 2)
+    return spark.createDataFrame([(str(r["params"]), r["mean_test_accuracy"], r["rank_test_accuracy"]) for r in tuned], "params string, accuracy double, rank int")
+
+
+@query("pca_2d")
+def _(spark, sf_dir):
+    return embed.pca(vectors(spark, sf_dir))
+
+
+@query("svd_2d")
+def _(spark, sf_dir):
+    return embed.svd(vectors(spark, sf_dir)).select("id", F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y"))
+
+
+@query("tsne_2d")
+def _(spark, sf_dir):
+    return embed.tsne(vectors(spark, sf_dir), steps=150, most_rows=500)
