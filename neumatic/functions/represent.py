@@ -57,7 +57,7 @@ def contour_code(interval: Column) -> Column:
 
 
 def encode_intervals(values: Column) -> Column:
-    return F.array_join(F.transform(values, interval_code), "")
+    return F.array_join(F.transform(values, lambda x: interval_code(x)), "")
 
 
 def encode_contour(values: Column) -> Column:
