@@ -40,7 +40,17 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out = spark.read.parquet(path)
+    vars(out)["written_to"] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing still to be run reads."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(vars(df)["written_to"])
+        path.getFileSystem(conf).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
