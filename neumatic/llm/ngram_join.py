@@ -13,6 +13,12 @@ since sets that share no signature share at most one token of each class, and
 no rare one, in their prefixes.  Candidates are verified on the shingles of
 their whole texts.
 
+Each signature of a single token also tells the token's position in its set's
+order.  With c such signatures in common, the last at positions i and j, two
+sets of n and m tokens share at most c + min(n - 1 - i, m - 1 - j) tokens,
+since all other common tokens come later; pairs below the needed overlap go
+without verification.
+
 Equal sets are one node.  Candidate groups are first verified against one pivot
 each, which settles groups of near copies in linear work; what is then left in
 different components of a group is verified pair by pair, so no link that could
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neumatic.llm.common import release, written
+from neumatic.llm.common import discard, release, written
 from neumatic.llm.components import components
 
 WIDTH = 4
@@ -38,8 +44,8 @@ PERCENT = 85
 #: A shingle in so many documents is frequent; at most so many are listed (others count as rare, which costs time, not links).
 FREQUENT_FROM = 40
 FREQUENT_MOST = 200_000
-#: A task reports a shingle from so many of its documents on.
-LOCAL_FROM = 4
+#: A task reports a shingle from so many of its documents on: a share of them, and at least two.
+LOCAL_SHARE = 1 / 1500
 #: (set size from which the scheme holds, classes of frequent shingles; 0: single tokens only).
 SCHEMES = ((0, 0), (128, 32), (1024, 256))
 #: Characters of texts that are held as words at once.
@@ -91,8 +97,11 @@ def set_key(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-def signatures(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """64-bit signatures of one set; ``frequent`` is sorted and ``counts`` goes with it."""
+def signatures(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit signatures of one set, and the position of each that is a single token (else -1).
+
+    ``frequent`` is sorted and ``counts`` goes with it.
+    """
     n = len(shingles)
     need = n + (-percent * n // 100) + 1  # n - ceil(percent * n / 100) + 1
     if len(frequent):
@@ -103,6 +112,7 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, p
     else:
         rare, common = shingles, shingles[:0]
     out = [mix(rare[:need] + np.uint64(1))]
+    at = [np.arange(len(out[0]))]
     if len(rare) < need:
         low, high = percent * n / 100, 100 * n / percent
         for k, (start, classes) in enumerate(SCHEMES):
@@ -111,6 +121,7 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, p
                 continue
             if not classes:
                 out.append(mix(common[: need - len(rare)] + np.uint64(1)))
+                at.append(len(rare) + np.arange(len(out[-1])))
                 continue
             own = (common >> np.uint64(17)) % np.uint64(classes)
             order = np.argsort(own, kind="stable")
@@ -123,7 +134,9 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, counts: np.ndarray, p
                 x = np.sort(chosen[own == c])
                 i, j = np.triu_indices(len(x), 1)
                 out.append(mix(x[i] * MULTIPLY + x[j] + np.uint64(2 + k)))
-    return np.unique(np.concatenate(out))
+                at.append(np.full(len(i), -1))
+    found, first = np.unique(np.concatenate(out), return_index=True)
+    return found, np.concatenate(at)[first]
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -145,7 +158,8 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
         def often():
             values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            values, counts = values[counts >= LOCAL_FROM], counts[counts >= LOCAL_FROM]
+            least = max(2, len(held) * LOCAL_SHARE)
+            values, counts = values[counts >= least], counts[counts >= least]
             return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), pa.array(counts, pa.int64()), pa.array(values.view(np.int64)), pa.array(np.ones(len(values), bool))], names=schema.names)
 
         for batch in batches:
@@ -167,26 +181,43 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
 
 
 def signed(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
-    """(sig, k, n): signatures of every set, once for each task that meets it."""
+    """(sig, at, k, n): signatures of every set, once for each task that meets it."""
     shared = docs.sparkSession.sparkContext.broadcast((frequent, counts))  # at most FREQUENT_MOST
 
     def scan(batches):
         frequent, counts = shared.value
         seen: set[int] = set()
         for batch in batches:
-            sigs, k, n = [], [], []
+            sigs, at, k, n = [], [], [], []
             for shingles in shingle_sets(batch.column(0).to_pylist(), width):
                 if not len(shingles) or (key := set_key(shingles)) in seen:
                     continue
                 seen.add(key)
-                found = signatures(shingles, frequent, counts, percent).view(np.int64)
-                sigs.append(found)
+                found, places = signatures(shingles, frequent, counts, percent)
+                sigs.append(found.view(np.int64))
+                at.append(places)
                 k.append(np.full(len(found), key))
                 n.append(np.full(len(found), len(shingles)))
             for i in range(0, len(sigs), 500):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[i : i + 500]).astype(np.int64)) for x in (sigs, k, n)], names=["sig", "k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[i : i + 500]).astype(kind)) for x, kind in ((sigs, np.int64), (at, np.int32), (k, np.int64), (n, np.int32))], names=["sig", "at", "k", "n"])
+
+    return docs.select("text").mapInArrow(scan, "sig long, at int, k long, n int")
+
+
+def promising(shared: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets with m and n tokens, from a row per shared signature at positions at_a and at_b."""
+    once = shared.groupBy("a", "b").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.count_if(F.col("at_b") >= 0).alias("c"), F.max("at_a").alias("i"), F.max("at_b").alias("j"))
+    return once.where(f"c = 0 or {100 + percent} * (c + least(m - 1 - i, n - 1 - j)) >= {percent} * (n + m)").select("a", "b")
+
 
-    return docs.select("text").mapInArrow(scan, "sig long, k long, n long")
+def texts_of(docs: DataFrame, nodes: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(k, text) of one document for each of ``nodes`` (k)."""
+    wanted = nodes.distinct().join(chosen, "k").where("doc_id is not null")
+    return docs.select("doc_id", "text").join(wanted, "doc_id").select("k", "text").dropDuplicates(["k"])
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -225,27 +256,35 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     sigs = written(sigs, "signatures")
     shared = sigs.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("sig")
     groups = written(sigs.join(shared, "sig", "left_semi").distinct(), "groups")
+    discard(sigs)
     release(spark)
 
     chosen = own.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
-    wanted = groups.select("k").distinct().join(chosen, "k").where("doc_id is not null")
-    texts = written(docs.select("doc_id", "text").join(wanted, "doc_id").select("k", "text").dropDuplicates(["k"]), "texts")
+    pivots = groups.groupBy("sig").agg(F.min(F.struct("n", "k", "at")).alias("p")).select("sig", F.col("p.n").alias("m"), F.col("p.k").alias("a"), F.col("p.at").alias("at_a"))
+    stars = groups.join(pivots, "sig").where(f"k <> a and {close}").select("a", F.col("k").alias("b"), "m", "n", "at_a", F.col("at").alias("at_b"))
+    stars = written(promising(stars, percent), "pairs")
+    release(spark)
+    texts = written(texts_of(docs, ends(stars), chosen), "texts")
     release(spark)
-
-    pivots = groups.groupBy("sig").agg(F.min(F.struct("n", "k")).alias("p")).select("sig", F.col("p.n").alias("m"), F.col("p.k").alias("a"))
-    stars = groups.join(pivots, "sig").where(f"k <> a and {close}").select("a", F.col("k").alias("b")).distinct()
     links = written(verified(stars, texts, width, percent), "links")
+    discard(stars, texts)
     release(spark)
 
     labels = written(components(links), "labels")
     named = groups.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     mixed = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
     named = written(named.join(mixed, "sig", "left_semi"), "mixed")
+    release(spark)
     sides = named.select("sig", "label").distinct()
     crossed = sides.join(sides.select("sig", F.col("label").alias("other")), "sig").where("label < other")
-    pairs = crossed.join(named, ["sig", "label"]).join(named.select("sig", F.col("label").alias("other"), F.col("k").alias("b"), F.col("n").alias("m")), ["sig", "other"])
-    pairs = pairs.where(close).select(F.least("k", "b").alias("a"), F.greatest("k", "b").alias("b")).distinct()
+    left = named.select("sig", "label", F.col("k").alias("a"), F.col("n").alias("m"), F.col("at").alias("at_a"))
+    right = named.select("sig", F.col("label").alias("other"), F.col("k").alias("b"), "n", F.col("at").alias("at_b"))
+    pairs = written(promising(crossed.join(left, ["sig", "label"]).join(right, ["sig", "other"]).where(close), percent), "pairs")
+    release(spark)
+    texts = written(texts_of(docs, ends(pairs), chosen), "texts")
+    release(spark)
     more = written(verified(pairs, texts, width, percent), "links")
+    discard(pairs, texts, named, groups)
     release(spark)
 
     least = own.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("own_least"))
