@@ -42,7 +42,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup.dedup(table(spark, sf_dir, "documents"), shortest=1).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op9_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -213,6 +213,24 @@ def test_line_dedup(spark, docs):
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
 
 
+def test_line_dedup_short_lines(spark):
+    rng, rows = random.Random(14), []
+    pool = ["all rights reserved.", "x", "日本語テスト", "no no no no no no no", "a b", "b a", "k l m n", "k l m n o", "k l m q", "p q r", "p q s", ""]
+    for i in range(12):
+        rows.append((i, "\n".join(rng.choice(pool) for _ in range(5)), "x", 1, 1))
+    before, expected = [], {}
+    for doc_id, text, *_ in rows:
+        kept = []
+        for line in text.split("\n"):
+            own = set(line.split())
+            if not own or not any(9 * len(own & b) >= 4 * (len(own) + len(b)) for b in before):
+                kept.append(line)
+            before.append(own)
+        expected[doc_id] = "\n".join(kept)
+    out = line_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(3), shortest=1)
+    assert {r.doc_id: r.text for r in out.collect()} == expected
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_katz_sums_to_one(spark, docs, order):
     rows = katz.score(docs, order=order, block_tokens=300, part_tokens=500).collect()
