@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neumatic.llm.common import discard, release, written
+from neumatic.llm.common import WORD_RE, discard, release, written
 from neumatic.llm.components import components
 
 WIDTH = 4
@@ -145,9 +145,9 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """Per row its doc_id, n (set size) and k (set key); and per task the shingles it saw often (frequent: k, n)."""
+    """Per row its doc_id, n (set size), k (set key) and h (hash of its text); and per task the shingles it saw often (frequent: k, n)."""
     id_field = docs.schema["doc_id"]
-    schema = T.StructType([T.StructField("doc_id", id_field.dataType), T.StructField("n", T.LongType()), T.StructField("k", T.LongType()), T.StructField("frequent", T.BooleanType())])
+    schema = T.StructType([T.StructField("doc_id", id_field.dataType), T.StructField("n", T.LongType()), T.StructField("k", T.LongType()), T.StructField("h", T.LongType()), T.StructField("frequent", T.BooleanType())])
 
     def scan(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -160,7 +160,7 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
             least = max(2, len(held) * LOCAL_SHARE)
             values, counts = values[counts >= least], counts[counts >= least]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), pa.array(counts, pa.int64()), pa.array(values.view(np.int64)), pa.array(np.ones(len(values), bool))], names=schema.names)
+            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), pa.array(counts, pa.int64()), pa.array(values.view(np.int64)), pa.nulls(len(values), pa.int64()), pa.array(np.ones(len(values), bool))], names=schema.names)
 
         for batch in batches:
             n, k = [], []
@@ -171,13 +171,13 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                     seen.add(k[-1])
                     held.append(shingles)
                     size += len(shingles)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(np.zeros(len(n), bool))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array(n, pa.int64()), pa.array(k, pa.int64()), batch.column(2), pa.array(np.zeros(len(n), bool))], names=schema.names)
             if size > 6_000_000:
                 yield often()
                 held, size = [], 0
         yield often()
 
-    return docs.select("doc_id", "text").mapInArrow(scan, schema)
+    return docs.select("doc_id", "text", F.xxhash64("text")).mapInArrow(scan, schema)
 
 
 def signed(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, counts: np.ndarray) -> DataFrame:
@@ -211,9 +211,15 @@ def promising(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(k, text) of one document for each of ``nodes`` (k)."""
-    wanted = nodes.distinct().join(chosen, "k").where("doc_id is not null")
-    return docs.select("doc_id", "text").join(wanted, "doc_id").select("k", "text").dropDuplicates(["k"])
+    """(k, text) of the row that ``chosen`` (k, first) names for each of ``nodes`` (k)."""
+    wanted = nodes.distinct().join(chosen, "k").select("k", "first.*")
+    return rows_at(docs.select("doc_id", "text"), wanted).select("k", "text").dropDuplicates(["k"])
+
+
+def rows_at(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id (null like any other) and text stand in ``wanted`` (doc_id, h, more), with its columns."""
+    d, w = docs.withColumn("__h", F.xxhash64("text")).alias("d"), wanted.alias("w")
+    return d.join(w, F.expr("d.doc_id <=> w.doc_id and d.__h = w.h")).select("d.*", *(F.col(f"w.{c}") for c in wanted.columns if c != "doc_id"))
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -234,15 +240,10 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "u long, v long")
 
 
-def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Per row doc_id, n, k and h; and per set that is not empty k, first (its first row: unnamed, doc_id, h) and label (of its component).
 
-    Two documents link when 100 * intersection >= percent * union of their
-    shingle sets; component_id is the smallest doc_id reachable.  Null texts,
-    and texts without words, have no shingles and link with nothing: their
-    component is their own doc_id.  Rows that repeat a doc_id each get a row.
-    Rows without a doc_id keep their links and never name a component.  Other
-    columns are ignored; an empty table gives an empty result.
+    Rows with a doc_id come before those without; then the smaller doc_id.
     """
     spark = docs.sparkSession
     close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
@@ -259,7 +260,7 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     discard(sigs)
     release(spark)
 
-    chosen = own.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
+    chosen = own.where("n > 0").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("first"))
     pivots = groups.groupBy("sig").agg(F.min(F.struct("n", "k", "at")).alias("p")).select("sig", F.col("p.n").alias("m"), F.col("p.k").alias("a"), F.col("p.at").alias("at_a"))
     stars = groups.join(pivots, "sig").where(f"k <> a and {close}").select("a", F.col("k").alias("b"), "m", "n", "at_a", F.col("at").alias("at_b"))
     stars = written(promising(stars, percent), "pairs")
@@ -287,17 +288,36 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     discard(pairs, texts, named, groups)
     release(spark)
 
-    least = own.where("n > 0").groupBy("k").agg(F.min("doc_id").alias("own_least"))
     labels = written(components(links.unionByName(more)), "labels")
-    nodes = labels.withColumnRenamed("node", "k").join(least, "k")
-    reached = nodes.groupBy("label").agg(F.min("own_least").alias("component"))
-    ids = least.join(labels.withColumnRenamed("node", "k"), "k", "left").join(reached, "label", "left").select("k", F.coalesce("component", "own_least").alias("component"))
-    out = own.join(ids, "k", "left")
+    return own, chosen.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+
+
+def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id.
+
+    Two documents link when 100 * intersection >= percent * union of their
+    shingle sets; component_id is the smallest doc_id reachable.  Null texts,
+    and texts without words, have no shingles and link with nothing: their
+    component is their own doc_id.  Rows that repeat a doc_id each get a row,
+    by their own text.  Rows without a doc_id keep their links and never name a
+    component (one of such rows only has a null component_id).  Other columns
+    are ignored; an empty table gives an empty result.
+    """
+    own, sets = linked_sets(docs, width, percent)
+    reached = sets.groupBy("label").agg(F.min("first.doc_id").alias("component"))
+    out = own.join(sets.join(reached, "label").select("k", "component"), "k", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def distinct(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its component, with all their columns."""
-    found = join(docs, width, percent)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of ``docs`` for each component, with all its columns: that of the smallest doc_id.
+
+    A row without a doc_id stays only where its component has no other; of rows
+    that share doc_id and text any one stays.  Rows without words link with
+    nothing and all stay.
+    """
+    _, sets = linked_sets(docs, width, percent)
+    kept = sets.groupBy("label").agg(F.min("first").alias("first")).select("first.doc_id", "first.h")
+    worded = F.coalesce(F.col("text").rlike(WORD_RE), F.lit(False))
+    one = rows_at(docs.where(worded), kept).dropDuplicates(["doc_id", "h"])
+    return one.select(*docs.columns).unionByName(docs.where(~worded))

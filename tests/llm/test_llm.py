@@ -183,6 +183,27 @@ def test_ngram_join(spark, docs, monkeypatch):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_ngram_join_null_and_repeated_ids(spark):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices(VOCAB, k=200)) for _ in range(6)]
+
+    def near(text, *at):
+        return " ".join(f"z{i}" if i in at else w for i, w in enumerate(text.split()))
+
+    a, b, c, d, e, f = texts
+    rows = [
+        (1, near(a, 0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14)), (None, a), (2, near(a, 185, 186, 187, 188, 189, 190, 191, 192, 193, 194, 195, 196, 197, 198, 199)),  # only the row without an id links 1 and 2
+        (None, b), (3, c), (3, d), (3, near(c, 0)), (4, near(d, 199)), (5, e), (5, e), (None, f), (None, near(f, 100)), (None, ""), (None, None), (6, " "),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.component_id) for r in ngram_join.join(df).collect())
+    assert got == Counter([(1, 1), (None, 1), (2, 1), (None, None), (3, 3), (3, 3), (3, 3), (4, 3), (5, 5), (5, 5), (None, None), (None, None), (None, None), (None, None), (6, 6)])
+    kept = [(r.doc_id, r.text) for r in ngram_join.distinct(df).collect()]
+    fixed = [(1, rows[0][1]), (None, b), (3, d), (5, e), (None, ""), (None, None), (6, " ")]
+    assert not Counter(fixed) - Counter(kept) and len(kept) == len(fixed) + 2
+    assert sum(x in ((3, c), (3, rows[6][1])) for x in kept) == 1 and sum(x in (rows[10], rows[11]) for x in kept) == 1
+
+
 def test_line_dedup(spark, docs):
     rng, rows = random.Random(4), []
     pool = [prose(rng.randint(4, 15)) for _ in range(12)]
