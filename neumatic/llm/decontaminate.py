@@ -6,6 +6,8 @@ hashes of every benchmark position under every mask form a table; training
 texts look their own positions up in it, and around each hit the two token
 sequences are compared on that alignment: an overlap is a window of WINDOW
 tokens (or the whole item, if shorter) of which at least SIMILAR agree.
+The masks hit every such window of 12 or 13 tokens; shorter items have masks of
+their own length, so that every overlap has a hit.
 
 Benchmark items go out in blocks of bounded size, and the documents are read
 once for each block.  Documents are never shuffled.
@@ -16,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Positions that count are 1.
-MASKS = ("1101100101", "111010011", "1011010011")
+MASKS = ("1101100101", "111010011", "1011010011", "100111101")
+#: Items of so many tokens at least need no masks beside MASKS.
+MASKED = 12
 #: Items of fewer tokens than this are too short to be told from chance; they match nothing.
 SHORTEST = 5
 WINDOW = 13
@@ -40,6 +45,17 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
+def short_masks(n: int) -> list[np.ndarray]:
+    """Positions of masks of ``n`` tokens, one of which every allowed set of substitutions leaves alone.
+
+    With so many substitutions allowed, two more groups of positions are made,
+    and a mask leaves out as many groups as substitutions can meet.
+    """
+    wrong = next(k for k in range(n, -1, -1) if n - k >= SIMILAR * n - 1e-9)
+    groups = np.array_split(np.arange(n), wrong + 2)
+    return [np.concatenate([g for i, g in enumerate(groups) if i not in out]) for out in combinations(range(len(groups)), wrong)]
+
+
 def multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(20_011).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
 
@@ -67,12 +83,13 @@ class Index:
                 ids.append(item_id)
                 items.append(np.array([vocab.setdefault(w, len(vocab) + 1) for w in words], np.int64))
         shapes = [np.flatnonzero([c == "1" for c in m]) for m in masks]
-        span = min(len(m) for m in masks)
-        shapes += [np.arange(n) for n in sorted({len(x) for x in items if len(x) < span})]
+        own = [(n, shape) for n in sorted({len(x) for x in items if len(x) < MASKED}) for shape in short_masks(n)]
+        lengths = [0] * len(shapes) + [n for n, _ in own]
+        shapes += [shape for _, shape in own]
         found = []
         for k, shape in enumerate(shapes):
             for i, item in enumerate(items):
-                if k >= len(masks) and len(item) != len(shape):
+                if lengths[k] not in (0, len(item)):
                     continue
                 h = seeds(item, shape, k)
                 found.append((h, np.full(len(h), i), np.arange(len(h))))

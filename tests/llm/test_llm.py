@@ -7,6 +7,7 @@ import os
 import random
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +140,18 @@ def test_decontaminate(spark, docs):
     assert sorted(r.doc_id for r in decontaminate.clean(every, bench).collect()) == sorted([r[0] for r in ROWS] + [22])
 
 
+@pytest.mark.parametrize("n", [*range(5, 14), 40])
+def test_every_allowed_substitution_is_found(n):
+    item, width = [f"t{i}" for i in range(n)], min(n, 13)
+    index = decontaminate.Index.of([(1, " ".join(item))])
+    wrong = next(k for k in range(width, -1, -1) if 10 * (width - k) >= 8 * width)
+    window = item[(n - width) // 2 :][:width]
+    patterns = [x for k in range(wrong + 2) for x in combinations(range(width), k)]
+    texts = ["a b " + " ".join("z" if i in x else w for i, w in enumerate(window)) + " c" for x in patterns]
+    for x, hits in zip(patterns, decontaminate.matches(index, texts)):
+        assert (len(hits) == 1) == (len(x) <= wrong)
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)] + [(2000, i) for i in range(2001, 2100)]
