@@ -2,8 +2,8 @@
 
 The pages of one host are merged into a tree of style nodes: an element's path
 of block tags with their classes, ids and roles.  A node that holds text has
-content importance: the entropy of its texts over the host's pages, 1 when all
-differ and 0 when all are the same.  A node that holds elements has presentation
+content importance: the entropy of its texts over the host's distinct pages, 1
+when all differ and 0 when all are the same.  A node that holds elements has presentation
 importance: the entropy of the sequences of its children, starting from a prior
 by what its tag and names say (navigation, advert, comment, ...).  The composite
 of both along the path decides, and branches of low importance are removed from
@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -131,23 +132,38 @@ def key(*parts: str) -> int:
     return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
 
 
-def features(pages: DataFrame) -> DataFrame:
-    """(host, node, above, kind, value, n): how often each text (kind 1) or child sequence (kind 0) stands in a style node, by task."""
+def contents(pages: DataFrame) -> DataFrame:
+    """(host, page, found): what each distinct page of a host holds, once; ``found`` packs node, above, kind and value of ``features``, column after column."""
     def scan(batches):
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
-            seen: Counter = Counter()
+            rows = []
             for url, page in zip(*(c.to_pylist() for c in batch.columns)):
-                host = host_of(url)
+                own = host_of(url), key(page or "")
+                if own in seen:
+                    continue
+                seen.add(own)
                 texts, nodes = blocks(page or "")
-                for path, _, text in texts:
-                    seen[host, key(path), key(path.rpartition(">")[0]), 1, key(text)] += 1
-                for path, children in nodes:
-                    seen[host, key(path), key(path.rpartition(">")[0]), 0, key(children)] += 1
+                held = dict.fromkeys((path, kind, value) for kind, part in ((1, ((path, text) for path, _, text in texts)), (0, nodes)) for path, value in part)
+                found = [(key(path), key(path.rpartition(">")[0]), kind, key(value)) for path, kind, value in held]
+                rows.append((*own, np.array(found, np.int64).reshape(-1, 4).T.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["host", "page", "found"])
+
+    return pages.select("url", "html").mapInArrow(scan, "host string, page long, found binary").dropDuplicates(["host", "page"])
+
+
+def features(pages: DataFrame) -> DataFrame:
+    """(host, node, above, kind, value, n): how many distinct pages hold each text (kind 1) or child sequence (kind 0) in a style node, by task."""
+    def scan(batches):
+        for batch in batches:
+            seen: Counter = Counter()
+            for host, found in zip(*(c.to_pylist() for c in batch.columns)):
+                seen.update((host, *x) for x in zip(*np.frombuffer(found, np.int64).reshape(4, -1).tolist()))
             rows = list(seen)
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([seen[r] for r in rows], pa.int64())], names=["host", "node", "above", "kind", "value", "n"])
 
-    return pages.select("url", "html").mapInArrow(scan, "host string, node long, above long, kind int, value long, n long")
+    return contents(pages).select("host", "found").mapInArrow(scan, "host string, node long, above long, kind int, value long, n long")
 
 
 def importance(pages: DataFrame) -> DataFrame:
@@ -181,7 +197,7 @@ def extract(pages: DataFrame, fewest: int = FEWEST, least: float = LEAST) -> Dat
 
     A null html, and a page without main text, give an empty text.  A null url,
     or one without a host, belongs to the empty host.  Repeated rows are
-    extracted each (and count as pages each); other columns are ignored; an
+    extracted each; pages of equal html count once in their host's tree.  Other columns are ignored; an
     empty table gives an empty result.  Where a page has an article or main
     element, text outside it is left out.
     """

@@ -330,6 +330,19 @@ def test_html(spark):
     assert all("Same words" not in r.text and "Text" in r.text for r in got)  # only the style tree tells this one
 
 
+def test_html_of_hosts_with_copies(spark):
+    def page(k):
+        return "<div class=top>Same words here</div><div><h1>Title %d</h1>%s</div>" % (k, "".join(f"<p>Text {k} {i} of it</p>" for i in range(5)))
+
+    rows = [(i, "http://c.org/a", page(0)) for i in range(300)] + [(1000 + k, "http://c.org/b", page(k)) for k in range(1, 31)] + [(2000 + i, "http://only.org", page(7)) for i in range(6)]
+    out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(7)).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        k = 7 if r.page_id >= 2000 else max(r.page_id - 1000, 0)
+        body = "\n".join([f"Title {k}", *(f"Text {k} {i} of it" for i in range(5))])
+        assert r.text == (f"Same words here\n{body}" if r.page_id >= 2000 else body)
+
+
 def test_quality_pu(spark):
     rng = random.Random(6)
     rows, labels = [], []
