@@ -11,8 +11,10 @@ from pyspark.mllib.linalg.distributed import IndexedRowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows at most that t-SNE takes; it is quadratic in them.
+#: Rows at most that t-SNE is fitted on; it is quadratic in them.
 TSNE_ROWS = 5000
+#: Fitted rows that place each other row.
+NEIGHBOURS = 3
 
 
 def pca(rows: DataFrame, k: int = 2) -> DataFrame:
@@ -76,17 +78,42 @@ def tsne_array(x: np.ndarray, perplexity: float = 30.0, steps: int = 300, rate:
 
 
 def tsne(rows: DataFrame, perplexity: float = 30.0, steps: int = 300, seed: int = 0, most_rows: int = TSNE_ROWS) -> DataFrame:
-    """(id, x, y) of at most ``most_rows`` rows; wide features go through SVD first."""
-    rows = rows.orderBy("id").limit(most_rows)
+    """(id, x, y) of every row; wide features go through SVD first.
+
+    t-SNE is fitted on the ``most_rows`` rows of the smallest hashes of id, or
+    on all rows if there are no more.  Every other row stands at the mean of its
+    nearest fitted rows, weighted by inverse distance.
+    """
     width = rows.select(F.size(vector_to_array("features"))).first()
     if width is not None and width[0] > 50:
         rows = svd(rows, 50)
     else:
         rows = rows.select(F.col("id").cast("long").alias("id"), vector_to_array("features").alias("v"))
+    h = F.xxhash64("id")
+    bound = rows.select(h.alias("h")).orderBy("h").limit(most_rows).agg(F.max("h")).first()[0]
+    fitted = F.coalesce(h <= F.lit(bound), F.lit(True))
 
     def embed(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
         y = tsne_array(np.array(frame["v"].tolist(), float), perplexity, steps, seed=seed)
-        return pd.DataFrame({"id": frame["id"].to_numpy(), "x": y[:, 0], "y": y[:, 1]})
+        return pd.DataFrame({"id": frame["id"].to_numpy(), "v": frame["v"].tolist(), "x": y[:, 0], "y": y[:, 1]})
+
+    fit = rows.where(fitted).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(embed, "id long, v array<double>, x double, y double").toPandas()
+    spark = rows.sparkSession
+    own = spark.createDataFrame(fit[["id", "x", "y"]], "id long, x double, y double")
+    shared = spark.sparkContext.broadcast((np.array(fit["v"].tolist(), float), fit[["x", "y"]].to_numpy()))  # at most most_rows
+
+    def place(frames):
+        known, at = shared.value
+        k = min(NEIGHBOURS, len(known))
+        for frame in frames:
+            for i in range(0, len(frame), 1000):
+                part = frame.iloc[i : i + 1000]
+                v = np.array(part["v"].tolist(), float)
+                d = np.maximum((v * v).sum(1)[:, None] + (known * known).sum(1)[None] - 2 * v @ known.T, 0)
+                near = np.argpartition(d, k - 1, axis=1)[:, :k]
+                weight = 1 / (np.sqrt(np.take_along_axis(d, near, 1)) + 1e-9)
+                xy = (at[near] * weight[:, :, None]).sum(1) / weight.sum(1)[:, None]
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "x": xy[:, 0], "y": xy[:, 1]})
 
-    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(embed, "id long, x double, y double")
+    return own.unionByName(rows.where(~fitted).mapInPandas(place, "id long, x double, y double"))

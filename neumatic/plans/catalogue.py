@@ -563,4 +563,4 @@ def _(spark, sf_dir):
 
 @query("tsne_2d")
 def _(spark, sf_dir):
-    return embed.tsne(vectors(spark, sf_dir), steps=150, most_rows=500)
+    return embed.tsne(vectors(spark, sf_dir), most_rows=2000)

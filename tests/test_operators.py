@@ -126,3 +126,13 @@ def test_against_sql(spark, name):
     assert columns == sorted(expected.columns)
     text = lambda df: sorted(map(tuple, df[columns].astype(object).where(df[columns].notna(), "null").map(lambda v: f"{float(v):.6f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)).to_numpy().tolist()))
     assert text(found) == text(expected)
+
+
+def test_tsne_gives_every_row(spark):
+    v = np.random.default_rng(3).normal(0, 1, (60, 4))
+    df = spark.createDataFrame([(i, v[i % 60].tolist()) for i in range(120)], "id long, v array<double>").select("id", array_to_vector("v").alias("features"))
+    got = {r.id: (r.x, r.y) for r in embed.tsne(df, perplexity=5, steps=100, most_rows=60).collect()}
+    assert got.keys() == set(range(120)) and np.isfinite(list(got.values())).all()
+    fitted = {r.id for r in df.orderBy(F.xxhash64("id")).limit(60).collect()}
+    halves = [i for i in range(60) if (i in fitted) != (i + 60 in fitted)]  # the other of two equal rows stands where the fitted one is
+    assert len(halves) > 10 and all(np.allclose(got[i], got[i + 60], atol=1e-3) for i in halves)
