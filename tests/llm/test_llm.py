@@ -217,6 +217,20 @@ def test_ngram_join_null_and_repeated_ids(spark):
     assert sum(x in ((3, c), (3, rows[6][1])) for x in kept) == 1 and sum(x in (rows[10], rows[11]) for x in kept) == 1
 
 
+@pytest.fixture(autouse=True)
+def small_sketch(monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAST_BITS", 12)
+    monkeypatch.setattr(line_dedup, "PIVOT_FROM", 3)
+
+
+def test_line_dedup_clashing_columns(spark):
+    rows = [(1, "a b c\nd e f", 7, "p", "q", 3), (2, "d e f\ng", 8, None, "r", 4)]
+    names = "doc_id long, text string, n_lines int, removed string, s string, no int"
+    out = line_dedup.dedup(spark.createDataFrame(rows, names))
+    assert out.columns == ["doc_id", "text", "removed", "s", "no", "n_lines", "n_removed"]
+    assert {tuple(r) for r in out.collect()} == {(1, "a b c\nd e f", "p", "q", 3, 2, 0), (2, "g", None, "r", 4, 2, 1)}
+
+
 def test_line_dedup(spark, docs):
     rng, rows = random.Random(4), []
     pool = [prose(rng.randint(4, 15)) for _ in range(12)]
@@ -234,12 +248,9 @@ def test_line_dedup(spark, docs):
         kept = []
         for line in text.split("\n"):
             own = set(line.split())
-            if len(own) >= 5 and any(9 * len(own & b) >= 4 * (len(own) + len(b)) for b in before):
-                before.append(own)
-                continue
-            if len(own) >= 5:
-                before.append(own)
-            kept.append(line)
+            if not own or not any(9 * len(own & b) >= 4 * (len(own) + len(b)) for b in before):
+                kept.append(line)
+            before.append(own)
         expected[doc_id] = "\n".join(kept)
     expected |= {50: None, 51: "", None: rows[0][1]}
     out = line_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(3))
@@ -261,7 +272,7 @@ def test_line_dedup_short_lines(spark):
                 kept.append(line)
             before.append(own)
         expected[doc_id] = "\n".join(kept)
-    out = line_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(3), shortest=1)
+    out = line_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(3))
     assert {r.doc_id: r.text for r in out.collect()} == expected
 
 
