@@ -13,16 +13,20 @@ since sets that share no signature share at most one token of each class, and
 no rare one, in their prefixes.  Candidates are verified on the shingles of
 their whole texts.
 
-Each signature of a single token also tells the token's position in its set's
-order.  With c such signatures in common, the last at positions i and j, two
-sets of n and m tokens share at most c + min(n - 1 - i, m - 1 - j) tokens,
-since all other common tokens come later; pairs below the needed overlap go
-without verification.
-
-Equal sets are one node.  Candidate groups are first verified against one pivot
-each, which settles groups of near copies in linear work; what is then left in
-different components of a group is verified pair by pair, so no link that could
-join two components is missed.
+Candidates are thinned before any text is fetched.  A signature of a single
+token tells the token's position in its set's order: with one in common at
+positions i and j, two sets of n and m tokens share at most
+min(i, j) + 1 + min(n - 1 - i, m - 1 - j) tokens, and with all c that they have
+in common counted, the last at i and j, at most c + min(n - 1 - i, m - 1 - j).
+And each set has parity bits, four or more for each token: every token that
+only one of two sets holds flips at most one of them, so the bits that differ
+bound how far the sets are apart.  256 of them, folded, travel with the
+signatures; all of them decide on the pairs that those leave.
+
+Equal sets are one node.  Groups of a common signature are first compared with
+a few pivots each, in rounds, which settles groups of near copies in linear
+work; what is then left in different components of a group is compared pair by
+pair, so no link that could join two components is missed.
 """
 
 from __future__ import annotations
@@ -48,8 +52,14 @@ FREQUENT_MOST = 200_000
 LOCAL_SHARE = 1 / 1500
 #: (set size from which the scheme holds, classes of frequent shingles; 0: single tokens only).
 SCHEMES = ((0, 0), (128, 32), (1024, 256))
+#: Rounds of pivots, and pivots that a group of near copies has in each (by the signature's hash).
+ROUNDS = 2
+PIVOTS = 8
+#: Parity bits that travel with signatures; sets have four bits a token at least, as a power of two.
+FOLDED = 256
 #: Characters of texts that are held as words at once.
 SLICE_CHARS = 3_000_000
+FOLDS = tuple(f"c{i}" for i in range(1, FOLDED // 64 + 1))
 MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -144,10 +154,29 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Parity bits of a set as bytes: bit i tells whether the number of tokens that are i modulo the number of bits is odd."""
+    size = max(FOLDED, 1 << (4 * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Parity bits as they would be with only ``size`` bytes."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """So many tokens, at least, are in one of the two sets only."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(folded(np.frombuffer(a, np.uint8), size) ^ folded(np.frombuffer(b, np.uint8), size)).sum())
+
+
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """Per row its doc_id, n (set size), k (set key) and h (hash of its text); and per task the shingles it saw often (frequent: k, n)."""
+    """Per row its doc_id, n (set size), k (set key), h (hash of its text), and at a set's first row in a task its parity bits (bits, and folded c1 to c4); and per task the shingles it saw often (frequent: k, n)."""
     id_field = docs.schema["doc_id"]
-    schema = T.StructType([T.StructField("doc_id", id_field.dataType), T.StructField("n", T.LongType()), T.StructField("k", T.LongType()), T.StructField("h", T.LongType()), T.StructField("frequent", T.BooleanType())])
+    numbers = [T.StructField(c, T.LongType()) for c in ("n", "k", "h", *FOLDS)]
+    schema = T.StructType([T.StructField("doc_id", id_field.dataType), *numbers, T.StructField("bits", T.BinaryType()), T.StructField("frequent", T.BooleanType())])
 
     def scan(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -160,18 +189,23 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.empty(0, np.uint64), np.empty(0, np.int64))
             least = max(2, len(held) * LOCAL_SHARE)
             values, counts = values[counts >= least], counts[counts >= least]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), pa.array(counts, pa.int64()), pa.array(values.view(np.int64)), pa.nulls(len(values), pa.int64()), pa.array(np.ones(len(values), bool))], names=schema.names)
+            none = pa.nulls(len(values), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.nulls(len(values), kind), pa.array(counts, pa.int64()), pa.array(values.view(np.int64)), none, *[none] * len(FOLDS), pa.nulls(len(values), pa.binary()), pa.array(np.ones(len(values), bool))], names=schema.names)
 
         for batch in batches:
-            n, k = [], []
+            n, k, bits, folds = [], [], [], []
             for shingles in shingle_sets(batch.column(1).to_pylist(), width):
                 n.append(len(shingles))
                 k.append(set_key(shingles))
+                bits.append(None)
+                folds.append([None] * len(FOLDS))
                 if len(shingles) and k[-1] not in seen:
                     seen.add(k[-1])
+                    own = parity(shingles)
+                    bits[-1], folds[-1] = own.tobytes(), folded(own, FOLDED // 8).view("<i8").tolist()
                     held.append(shingles)
                     size += len(shingles)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array(n, pa.int64()), pa.array(k, pa.int64()), batch.column(2), pa.array(np.zeros(len(n), bool))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(kind), pa.array(n, pa.int64()), pa.array(k, pa.int64()), batch.column(2), *(pa.array([f[i] for f in folds], pa.int64()) for i in range(len(FOLDS))), pa.array(bits, pa.binary()), pa.array(np.zeros(len(n), bool))], names=schema.names)
             if size > 6_000_000:
                 yield often()
                 held, size = [], 0
@@ -204,10 +238,26 @@ def signed(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, coun
     return docs.select("text").mapInArrow(scan, "sig long, at int, k long, n int")
 
 
-def promising(shared: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets with m and n tokens, from a row per shared signature at positions at_a and at_b."""
-    once = shared.groupBy("a", "b").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.count_if(F.col("at_b") >= 0).alias("c"), F.max("at_a").alias("i"), F.max("at_b").alias("j"))
-    return once.where(f"c = 0 or {100 + percent} * (c + least(m - 1 - i, n - 1 - j)) >= {percent} * (n + m)").select("a", "b")
+def plausible(percent: int) -> str:
+    """SQL condition on two sets x and y of one signature: sizes, folded parity bits and the token's positions allow a link."""
+    sizes = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    differ = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in FOLDS)
+    places = f"(x.at < 0 or y.at < 0 or {100 + percent} * (least(x.at, y.at) + 1 + least(x.n - 1 - x.at, y.n - 1 - y.at)) >= {percent} * (x.n + y.n))"
+    return f"{sizes} and {100 + percent} * ({differ}) <= {100 - percent} * (x.n + y.n) and {places}"
+
+
+def near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs`` (a, b) that all parity bits allow."""
+    x = nodes.select(F.col("k").alias("a"), F.col("n").alias("m"), F.col("bits").alias("bits_a"))
+    y = nodes.select(F.col("k").alias("b"), "n", F.col("bits").alias("bits_b"))
+
+    def check(batches):
+        for batch in batches:
+            a, b, m, n, bits_a, bits_b = (c.to_pylist() for c in batch.columns)
+            good = pa.array([(100 + percent) * apart(*both) <= (100 - percent) * (i + j) for i, j, *both in zip(m, n, bits_a, bits_b)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], names=["a", "b"])
+
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "m", "n", "bits_a", "bits_b").mapInArrow(check, "a long, b long")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -232,12 +282,60 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     right = texts.select(F.col("k").alias("b"), F.col("text").alias("text_b"))
 
     def check(batches):
+        last: tuple = (None, None)
         for batch in batches:
-            a, b = shingle_sets(batch.column(2).to_pylist(), width), shingle_sets(batch.column(3).to_pylist(), width)
-            good = [linked(x, y, percent) for x, y in zip(a, b)]
+            keys, ours, good = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            for key, own, other in zip(keys, ours, shingle_sets(batch.column(3).to_pylist(), width)):
+                if last[0] != key:  # rows of one a stand together
+                    last = key, next(shingle_sets([own], width))
+                good.append(linked(last[1], other, percent))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good, pa.bool_())), batch.column(1).filter(pa.array(good, pa.bool_()))], names=["u", "v"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "u long, v long")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "u long, v long")
+
+
+def links_of(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges (u, v) of those ``pairs`` (a, b) that link: by parity bits first, then by the whole texts."""
+    spark = docs.sparkSession
+    pairs = written(pairs, "pairs")
+    release(spark)
+    close = written(near(pairs, nodes, percent), "close")
+    discard(pairs)
+    release(spark)
+    texts = written(texts_of(docs, ends(close), nodes.select("k", "first")), "texts")
+    release(spark)
+    links = written(verified(close, texts, width, percent), "links")
+    discard(close, texts)
+    release(spark)
+    return links
+
+
+def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The signature ``rows`` with the components that they now have, of signatures that still hold several."""
+    named = rows.drop("label").join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    several = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
+    return written(named.join(several, "sig", "left_semi"), "mixed")
+
+
+def pivoted(rows: DataFrame, number: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of the pivot of a signature's sets, new in each round, and one in another component."""
+    rank = F.xxhash64(F.lit(number), F.pmod("sig", F.lit(PIVOTS)), "k").alias("rank")
+    own = ("k", "n", "at", "label", *FOLDS)
+    pivots = rows.groupBy("sig").agg(F.min(F.struct(rank, *own)).alias("p")).select("sig", *(F.col(f"p.{c}").alias(c) for c in own))
+    both = pivots.alias("x").join(rows.alias("y"), F.expr(f"x.sig = y.sig and x.label <> y.label and {plausible(percent)}"))
+    return both.select(F.least("x.k", "y.k").alias("a"), F.greatest("x.k", "y.k").alias("b")).distinct()
+
+
+def crossing(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of sets that share a signature and are in different components."""
+    sides = rows.select("sig", "label").distinct()
+    crossed = sides.join(sides.select("sig", F.col("label").alias("other")), "sig").where("label < other")
+    x = crossed.join(rows, ["sig", "label"])
+    both = x.alias("x").join(rows.alias("y"), F.expr(f"x.sig = y.sig and x.other = y.label and {plausible(percent)}"))
+    both = both.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n"), F.col("x.at").alias("at_a"), F.col("y.at").alias("at_b"))
+    # all signatures that a pair shares are counted here: those of different components are mixed, and what one position rules out can go
+    once = both.groupBy("a", "b").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.count_if((F.col("at_a") >= 0) & (F.col("at_b") >= 0)).alias("c"), F.max("at_a").alias("i"), F.max("at_b").alias("j"))
+    return once.where(f"c = 0 or {100 + percent} * (c + least(m - 1 - i, n - 1 - j)) >= {percent} * (n + m)").select("a", "b")
 
 
 def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -246,50 +344,36 @@ def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     Rows with a doc_id come before those without; then the smaller doc_id.
     """
     spark = docs.sparkSession
-    close = f"100 * least(n, m) >= {percent} * greatest(n, m)"
     sketch = written(sketches(docs, width), "sketches")
-    own = sketch.where("not frequent").drop("frequent")
+    own = sketch.where("not frequent").select("doc_id", "n", "k", "h")
     often = sketch.where("frequent").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     rows = often.orderBy(F.desc("n"), "k").limit(FREQUENT_MOST).toPandas()
     values = rows["k"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(values)
-    sigs = signed(docs, width, percent, values[order], rows["n"].to_numpy(np.int64)[order])
-    sigs = written(sigs, "signatures")
-    shared = sigs.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("sig")
-    groups = written(sigs.join(shared, "sig", "left_semi").distinct(), "groups")
-    discard(sigs)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("first")
+    nodes = written(sketch.where("not frequent and n > 0").groupBy("k").agg(first, *(F.max(c).alias(c) for c in ("n", "bits", *FOLDS))), "nodes")
     release(spark)
 
-    chosen = own.where("n > 0").groupBy("k").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")).alias("first"))
-    pivots = groups.groupBy("sig").agg(F.min(F.struct("n", "k", "at")).alias("p")).select("sig", F.col("p.n").alias("m"), F.col("p.k").alias("a"), F.col("p.at").alias("at_a"))
-    stars = groups.join(pivots, "sig").where(f"k <> a and {close}").select("a", F.col("k").alias("b"), "m", "n", "at_a", F.col("at").alias("at_b"))
-    stars = written(promising(stars, percent), "pairs")
-    release(spark)
-    texts = written(texts_of(docs, ends(stars), chosen), "texts")
-    release(spark)
-    links = written(verified(stars, texts, width, percent), "links")
-    discard(stars, texts)
-    release(spark)
-
-    labels = written(components(links), "labels")
-    named = groups.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
-    mixed = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("sig")
-    named = written(named.join(mixed, "sig", "left_semi"), "mixed")
-    release(spark)
-    sides = named.select("sig", "label").distinct()
-    crossed = sides.join(sides.select("sig", F.col("label").alias("other")), "sig").where("label < other")
-    left = named.select("sig", "label", F.col("k").alias("a"), F.col("n").alias("m"), F.col("at").alias("at_a"))
-    right = named.select("sig", F.col("label").alias("other"), F.col("k").alias("b"), "n", F.col("at").alias("at_b"))
-    pairs = written(promising(crossed.join(left, ["sig", "label"]).join(right, ["sig", "other"]).where(close), percent), "pairs")
-    release(spark)
-    texts = written(texts_of(docs, ends(pairs), chosen), "texts")
-    release(spark)
-    more = written(verified(pairs, texts, width, percent), "links")
-    discard(pairs, texts, named, groups)
+    sigs = written(signed(docs, width, percent, values[order], rows["n"].to_numpy(np.int64)[order]), "signatures")
+    shared = sigs.groupBy("sig").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("sig")
+    groups = sigs.join(shared, "sig", "left_semi").distinct().join(nodes.select("k", *FOLDS), "k").withColumn("label", F.col("k"))
+    groups = written(groups, "groups")
+    discard(sigs)
     release(spark)
 
-    labels = written(components(links.unionByName(more)), "labels")
-    return own, chosen.join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    links = None
+    for number in range(ROUNDS + 1):
+        pairs = pivoted(groups, number, percent) if number < ROUNDS else crossing(groups, percent)
+        more = links_of(pairs, docs, nodes, width, percent)
+        links = more if links is None else links.unionByName(more)
+        labels = written(components(links), "labels")
+        if number < ROUNDS:
+            old, groups = groups, mixed(groups, labels)
+            discard(old, labels)
+            release(spark)
+    discard(groups)
+    named = nodes.select("k", "first").join(labels.withColumnRenamed("node", "k"), "k", "left")
+    return own, named.withColumn("label", F.coalesce("label", "k"))
 
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -321,3 +405,16 @@ def distinct(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     worded = F.coalesce(F.col("text").rlike(WORD_RE), F.lit(False))
     one = rows_at(docs.where(worded), kept).dropDuplicates(["doc_id", "h"])
     return one.select(*docs.columns).unionByName(docs.where(~worded))
+
+
+def oracle(table: str = "documents") -> str:
+    """DuckDB SQL for ``join`` with its defaults: all pairs that share a shingle are counted."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM {table}),
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {WIDTH} THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - {WIDTH - 2}), lambda i: array_to_string(w[i:i + {WIDTH - 1}], ' ')) END) AS s FROM d),
+x AS (SELECT r, len(s) AS n, unnest(s) AS x FROM s),
+links AS (SELECT a.r AS a, b.r AS b FROM x a JOIN x b ON a.x = b.x AND a.r <> b.r GROUP BY a.r, b.r, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))),
+reach AS (SELECT r, r AS c FROM s UNION SELECT l.b, reach.c FROM reach JOIN links l ON reach.r = l.a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, o.component_id FROM s JOIN (SELECT reach.r, min(t.doc_id) AS component_id FROM reach JOIN s t ON reach.c = t.r GROUP BY reach.r) o ON s.r = o.r"""
