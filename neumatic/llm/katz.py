@@ -63,6 +63,11 @@ def expand(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), kind)
 
 
+def planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of 64-bit numbers, plane by plane."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T)
+
+
 def squeeze_keys(keys: np.ndarray) -> bytes:
     """Sorted 64-bit keys: the bytes of their differences, plane by plane."""
     steps = np.diff(keys, prepend=np.uint64(0))
@@ -208,9 +213,9 @@ def count_answers(asked: DataFrame) -> DataFrame:
         first = np.unique(back, return_index=True)[1]
         speaks = np.zeros(len(back), np.int64)
         speaks[first] = 1
-        coded = (total[back] << 1 | speaks).astype("<u4")
+        coded = (total[back] << 1 | speaks).astype("<u8")
         ends = np.cumsum([len(k) for k in keys])
-        rows = [(key[0], key[1], b, squeeze(np.ascontiguousarray(coded[e - len(k) : e].view(np.uint8).reshape(-1, 4).T)), None) for b, k, e in zip(frame["block"], keys, ends)]
+        rows = [(key[0], key[1], b, squeeze(planes(coded[e - len(k) : e])), None) for b, k, e in zip(frame["block"], keys, ends)]
         seen = total[total > 0]
         rows.append((key[0], key[1], None, None, [float(len(seen)), float(seen.sum()), *np.bincount(np.minimum(seen, TRUSTED + 2), minlength=TRUSTED + 3)[1 : TRUSTED + 2].astype(float)]))
         return pd.DataFrame(rows, columns=["n", "part", "block", "answer", "stats"])
@@ -268,12 +273,12 @@ class Known:
             data = []
             for value in own.sort_values("part")["answer"]:
                 raw = zlib.decompress(value)
-                data.append(np.frombuffer(raw, np.float64) if n < 0 else np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel())
+                data.append(np.frombuffer(raw, np.float64) if n < 0 else np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel())
             data = np.concatenate(data)
             if n < 0:
                 self.alpha[-n] = data
             else:
-                self.counts[n], self.speaks[n] = (data >> 1).astype(np.int64), (data & 1).astype(bool)
+                self.counts[n], self.speaks[n] = (data >> np.uint64(1)).astype(np.int64), (data & np.uint64(1)).astype(bool)
         self.p = {1: model.unigram(self.counts[1])}
 
     def context_counts(self, n: int) -> np.ndarray:
