@@ -15,11 +15,13 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; a local temporary folder is
-    used only where that is unset (single-machine sessions such as tests).
+    It is the session's ``spark.checkpoint.dir``; where that is unset, a session
+    on one machine gets a temporary folder, and a cluster an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="neumatic-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

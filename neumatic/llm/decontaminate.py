@@ -64,7 +64,7 @@ def multipliers(n: int) -> np.ndarray:
 class Index:
     """Seeds of one block of items."""
 
-    item_ids: list
+    item_ids: list[list]
     items: list[np.ndarray]
     vocab: dict[str, int]
     masks: list[np.ndarray]
@@ -74,14 +74,14 @@ class Index:
     bits: np.ndarray
 
     @classmethod
-    def of(cls, rows: list[tuple], masks: tuple[str, ...] = MASKS) -> Index:
+    def of(cls, rows: list[tuple], masks: tuple[str, ...] = MASKS, shortest: int = SHORTEST) -> Index:
         vocab: dict[str, int] = {}
-        ids, items = [], []
+        same: dict[tuple, list] = {}  # items of equal tokens are one
         for item_id, text in rows:
             words = tokens(text)
-            if len(words) >= SHORTEST:
-                ids.append(item_id)
-                items.append(np.array([vocab.setdefault(w, len(vocab) + 1) for w in words], np.int64))
+            if len(words) >= max(shortest, 1):
+                same.setdefault(tuple(vocab.setdefault(w, len(vocab) + 1) for w in words), []).append(item_id)
+        items, ids = [np.array(x, np.int64) for x in same], list(same.values())
         shapes = [np.flatnonzero([c == "1" for c in m]) for m in masks]
         own = [(n, shape) for n in sorted({len(x) for x in items if len(x) < MASKED}) for shape in short_masks(n)]
         lengths = [0] * len(shapes) + [n for n, _ in own]
@@ -158,35 +158,38 @@ def matches(index: Index, texts: list[str | None]) -> Iterator[list[tuple]]:
             if found and (i not in best[d] or (found[2], found[1], -found[0]) > (best[d][i][2], best[d][i][1], -best[d][i][0])):
                 best[d][i] = found
         for found in best:
-            yield [(index.item_ids[i], *found[i]) for i in sorted(found)]
+            yield [(item_id, *found[i]) for i in sorted(found) for item_id in index.item_ids[i]]
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, shortest: int = SHORTEST) -> Iterator[Index]:
     """The items of ``benchmark`` (item_id, text), in blocks."""
     rows, chars = [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         size = len(row.text or "")
         if rows and chars + size > block_chars:
-            yield Index.of(rows)
+            yield Index.of(rows, shortest=shortest)
             rows, chars = [], 0
         rows.append((row.item_id, row.text))
         chars += size
     if rows:
-        yield Index.of(rows)
+        yield Index.of(rows, shortest=shortest)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, shortest: int = SHORTEST) -> DataFrame:
     """A row per (doc_id, item_id) that overlap: start and tokens of the overlap in the document, tokens that agree.
 
     Null and empty texts on either side overlap nothing, and neither do items
-    of fewer than SHORTEST tokens.  Repeated documents and items each give
-    their rows; other columns are ignored; an empty table on either side gives
+    of fewer than ``shortest`` tokens, which ordinary prose holds by chance; 1
+    takes all.  Repeated documents and items each give their rows, but items
+    of equal tokens are looked up once.  Of several overlaps of one document
+    and item the one with most agreeing tokens is told, then the longer, then
+    the first.  Other columns are ignored; an empty table on either side gives
     an empty result.
     """
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("item_id", benchmark.schema["item_id"].dataType), *(T.StructField(n, T.LongType()) for n in ("start", "n_tokens", "n_agree"))])
     item_type = T.StructType([out["item_id"]])
     spark, found = docs.sparkSession, None
-    for index in blocks(benchmark, block_chars):
+    for index in blocks(benchmark, block_chars, shortest):
         shared = spark.sparkContext.broadcast(index)  # at most BLOCK_CHARS of text
 
         def look(batches, shared=shared):
@@ -206,10 +209,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHA
     return spark.createDataFrame([], out) if found is None else found
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, shortest: int = SHORTEST) -> DataFrame:
     """The rows of ``docs`` that overlap no benchmark item, with all their columns."""
     at = docs.columns.index("text")
-    for index in blocks(benchmark, block_chars):
+    for index in blocks(benchmark, block_chars, shortest):
         shared = docs.sparkSession.sparkContext.broadcast(index)  # at most BLOCK_CHARS of text
 
         def choose(batches, shared=shared):

@@ -51,7 +51,7 @@ def scan(docs: DataFrame, texts: DataFrame | None = None, notices: DataFrame | N
     commas (empty if none), and n_notices counts the lines.  A null text has no
     digest and matches nothing; the digest of a text without letters or digits
     is that of the empty string and matches nothing either.  Rows that repeat a
-    doc_id share the notices of all of them.  Other columns are ignored; an
+    doc_id, or have none, share the notices of all of them.  Other columns are ignored; an
     empty table gives an empty result.  ``texts`` and ``notices`` (digest,
     license) replace the lists that come with the library.
     """
@@ -63,8 +63,8 @@ def scan(docs: DataFrame, texts: DataFrame | None = None, notices: DataFrame | N
     each = lines.select("doc_id", F.explode(F.split("canon", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line")).where("line <> ''")
     found = each.select("doc_id", F.sha2("line", 256).alias("digest")).join(notices, "digest")
     found = found.groupBy("doc_id").agg(F.count("*").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
-    both = whole.join(found, "doc_id", "left")
-    return both.select("doc_id", "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+    both = whole.alias("w").join(found.alias("f"), F.expr("w.doc_id <=> f.doc_id"), "left")
+    return both.select("w.doc_id", "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _quote(text: str) -> str:
@@ -91,4 +91,4 @@ lines AS (SELECT doc_id, trim(unnest(string_split(c, chr(10)))) AS line FROM can
 found AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names
           FROM (SELECT doc_id, sha256(line) AS digest FROM lines WHERE line <> '') JOIN notices USING (digest) GROUP BY doc_id)
 SELECT w.doc_id, w.digest, t.license, coalesce(f.n, 0) AS n_notices, coalesce(f.names, '') AS notices
-FROM whole w LEFT JOIN texts t ON w.digest = t.digest LEFT JOIN found f ON w.doc_id = f.doc_id"""
+FROM whole w LEFT JOIN texts t ON w.digest = t.digest LEFT JOIN found f ON w.doc_id IS NOT DISTINCT FROM f.doc_id"""

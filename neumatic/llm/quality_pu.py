@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from neumatic.llm.common import remainder, written
+from neumatic.llm.common import discard, remainder, written
 from neumatic.llm.quality_rules import Text
 
 #: Texts of each kind, positive and unlabelled, that the model is fitted on at most.
@@ -151,13 +151,13 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
 
 
 def described(texts: DataFrame) -> DataFrame:
-    """(positive, x): the statistics of each text."""
+    """(doc, positive, x): a key of the doc_id, and the statistics of each text."""
     def scan(batches):
         for batch in batches:
-            x = [list(map(float, statistics(t))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["positive", "x"])
+            x = [list(map(float, statistics(t))) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc", "positive", "x"])
 
-    return texts.select("positive", "text").mapInArrow(scan, "positive boolean, x array<double>")
+    return texts.select(F.xxhash64("doc_id").alias("doc"), "positive", "text").mapInArrow(scan, "doc long, positive boolean, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Network | None:
@@ -169,7 +169,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     picked = good.orderBy(order, "doc_id").limit(sample_rows).select("doc_id", F.lit(True).alias("positive"))
     # the unlabelled sample is drawn without looking at the labels
     more = ids.orderBy(F.xxhash64(F.lit("unlabelled"), "doc_id"), "doc_id").limit(sample_rows).distinct().select("doc_id", F.lit(False).alias("positive"))
-    sample = written(described(docs.join(F.broadcast(picked.unionByName(more)), "doc_id")), "sample").orderBy("x").limit(4 * sample_rows).collect()
+    found = written(described(docs.join(F.broadcast(picked.unionByName(more)), "doc_id")), "sample")
+    # a row a doc_id and kind, whatever repeats: at most 2 * sample_rows
+    sample = found.groupBy("doc", "positive").agg(F.min("x").alias("x")).orderBy("x", "positive").collect()
+    discard(found)
     positive = np.array([r.x for r in sample if r.positive])
     unlabelled = np.array([r.x for r in sample if not r.positive])
     return fit(positive, unlabelled) if len(positive) > 20 and len(unlabelled) > 20 else None
@@ -181,7 +184,9 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
     Scores come from whole texts alone.  Null and empty texts have the
     statistics of an empty text; repeated rows are scored each; other columns
     are ignored; an empty table gives an empty result.  With 20 training texts
-    or fewer of either kind every score is 0.5.
+    or fewer of either kind every score is 0.5.  Rows that share a doc_id count
+    once in the sample.  Memory: a batch of texts, and the words and windows of
+    one text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, sample_rows))  # a few hundred weights
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

@@ -60,4 +60,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle()}
+    return {
+        "op1_license_scan": license_scan.oracle(),
+        "op5_quality_rules": quality_rules.oracle(),
+        "op7_ngram_jaccard": ngram_join.oracle(),
+        "op8_line_dedup": line_dedup.oracle(),
+        "op10_warc": warc.oracle(),
+    }

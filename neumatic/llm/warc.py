@@ -98,8 +98,18 @@ def write(pages: DataFrame, path: str | None = None, revisit_from_bytes: int = 0
     return path
 
 
+def number(text: str | bytes | None) -> int | None:
+    """A header's number of bytes, or None if it has none."""
+    return int(text) if text is not None and text.strip().isdigit() else None
+
+
 def parse(data: bytes) -> tuple | None:
-    """A record's values from an inflated member, or None if it isn't a record."""
+    """A record's values from an inflated member, or None if it isn't a record.
+
+    A record without a valid length, or whose payload does not have the digest
+    that its header tells, is of type ``damaged``; its bytes and digest are
+    those found.
+    """
     if not data.startswith(b"WARC/"):
         return None
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -107,20 +117,20 @@ def parse(data: bytes) -> tuple | None:
     for line in head.split(b"\r\n")[1:]:
         name, _, value = line.partition(b":")
         fields[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    block = rest[: int(fields.get("content-length", 0))]
-    kind = fields.get("warc-type", "")
+    length, kind = number(fields.get("content-length")), fields.get("warc-type", "")
+    block = rest if length is None else rest[:length]
     http, _, payload = block.partition(b"\r\n\r\n")
     digest = fields.get("warc-payload-digest", "").removeprefix("sha1:")
     size = len(payload)
     if kind == "revisit":
         payload = b""
         lengths = [x.split(b":", 1)[1] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-        size = int(lengths[0]) if lengths else None
+        size = number(lengths[0]) if lengths else None
     elif kind == "response":
         found = base32_sha1(payload)
-        if digest and digest != found:
-            raise ValueError(f"payload of {fields.get('warc-record-id')} has digest {found}, not {digest}")
+        kind = "damaged" if digest not in ("", found) else kind
         digest = found
+    kind = "damaged" if length is None or length > len(rest) else kind
     return (fields.get("warc-record-id", "").strip("<>"), kind, fields.get("warc-target-uri"), fields.get("warc-refers-to", "").strip("<>") or None, size, digest, payload)
 
 
@@ -166,8 +176,9 @@ class Joiner:
 def read(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """Records of the archives under ``path``: the columns of RECORD.
 
-    A task holds one record at a time.  A response's digest is computed from
-    its payload and must agree with its header; a revisit's are its headers'.
+    A task holds one Arrow batch of stretches and one record's.  A response's
+    digest is computed from its payload, and a record whose header disagrees
+    with it is of type ``damaged``; a revisit's are its headers'.
     """
     lines = spark.read.option("lineSep", MAGIC.decode(ENCODING)).option("encoding", ENCODING).text(path)
     source = lines.select(F.col("value").cast("binary").alias("stretch"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
@@ -220,3 +231,12 @@ def report(records: DataFrame, id_type: str = "long") -> DataFrame:
         return F.when(F.col(column) != URN, F.substring(column, len(URN) + 1, 1 << 20)).cast(id_type)
 
     return records.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to_id").alias("refers_to"))
+
+
+def oracle(table: str = "pages") -> str:
+    """DuckDB SQL for what ``report`` tells of a table with distinct page_ids, written with revisits of any size."""
+    value = "CAST('0x' || substr(sha1(h), CAST(5 * (k // 4) + 1 AS INTEGER), 5) AS BIGINT)"
+    digest = f"array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (({value} >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) AS INTEGER), 1)), '')"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM {table}), g AS (SELECT h, max(page_id) AS largest FROM p GROUP BY h)
+SELECT page_id, octet_length(encode(h)) AS payload_bytes, {digest} AS payload_digest, CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < largest THEN largest END AS refers_to FROM p JOIN g USING (h)"""
