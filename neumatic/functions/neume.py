@@ -11,30 +11,34 @@ MARK = "\x01"
 KEPT = characters("notes", "liquescents", "flats", "naturals")
 
 
-def expand_accidentals(melody: Column, omit_notes: bool = False, barlines: str = "3456") -> Column:
-    """Write each flat where it sounds.
+#: What stands for a sounding flat until the signs are gone.
+SOUNDING = dict(zip(FLAT_OF_NOTE.values(), "\x10\x11\x12\x13\x14"))
+
+
+def _sounded(melody: Column, omit_notes: bool, barlines: str) -> Column:
+    """Each note where its flat sounds as a character of SOUNDING; the signs are still there.
 
-    A flat sign holds for its note until the natural or a barline.  The string
-    is cut before each sign and barline, and each stretch is translated by the
-    sign it starts with; one pass for each of the five flats.
+    A sounding note follows its sign, or the sounding note before it, with no
+    sign or barline between: the match goes on where the last one ended.
     """
-    out = melody
     for note, flat in FLAT_OF_NOTE.items():
-        natural = flat.upper()
-        cut = F.split(F.regexp_replace(out, f"([{flat}{natural}{barlines}])", MARK + "$1"), MARK)
+        between = f"[^{flat}{flat.upper()}{note}{barlines}]*+"
+        melody = F.regexp_replace(melody, f"({flat}|(?!^)\\G)({between}){note}", "$1$2" + SOUNDING[flat] + ("" if omit_notes else note))
+    return melody
 
-        out = F.array_join(F.transform(cut, _sounder(note, flat, omit_notes)), "")
-    return out
 
+def _written(sounded: Column) -> Column:
+    return F.translate(sounded, "".join(SOUNDING.values()), "".join(SOUNDING))
 
-def _sounder(note: str, flat: str, omit_notes: bool):
-    """Translates a stretch by the sign that it starts with."""
-    def sounded(part: Column) -> Column:
-        rest = F.substring(part, 2, 1 << 30)
-        flattened = F.translate(rest, note, flat) if omit_notes else F.replace(rest, F.lit(note), F.lit(flat + note))
-        return F.when(F.startswith(part, F.lit(flat)), flattened).when(F.startswith(part, F.lit(flat.upper())), rest).otherwise(part)
 
-    return sounded
+def expand_accidentals(melody: Column, omit_notes: bool = False, barlines: str = "3456") -> Column:
+    """Write each flat where it sounds: in place of its note, or before it.
+
+    A flat sign holds for its note until the natural or a barline; signs
+    themselves are left out.  One pass for each of the five flats.
+    """
+    signs = char_class(characters("flats", "naturals"))
+    return _written(F.regexp_replace(_sounded(melody, omit_notes, barlines), signs, ""))
 
 
 def clean(melody: Column, allowed: str | None = None, keep_boundaries: bool = False, neume: str = "", syllable: str = "", word: str = " ", keep_bars: bool = False, bars: str = "345", bar: str = "|") -> Column:
@@ -84,7 +88,8 @@ def split_melody(melody: Column, sep: str, keep_sep: bool = True) -> Column:
 
 def process(melody: Column) -> Column:
     """Flats written out, then only notes, liquescents, accidentals and dashes."""
-    return F.regexp_replace(expand_accidentals(melody, omit_notes=True), char_class(KEPT + "-", negate=True), "")
+    kept = characters("notes", "liquescents") + "".join(SOUNDING.values()) + "-"
+    return _written(F.regexp_replace(_sounded(melody, True, "3456"), char_class(kept, negate=True), ""))
 
 
 def notes_only(processed: Column) -> Column:

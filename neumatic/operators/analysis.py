@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,3 +80,49 @@ def mean_ci(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
 def rank_by(rows: DataFrame, value: str, name: str = "rank") -> DataFrame:
     """Smallest-rank order of a small table (one row a parameter set), best first."""
     return rows.withColumn(name, F.rank().over(Window.orderBy(F.desc(value))))
+
+
+#: Pitch classes of the mode scales, both sevenths.
+SCALE = (0, 2, 4, 5, 7, 9, 10, 11)
+
+
+def scale_pitches(low: int, high: int) -> Column:
+    """The pitches of the scale from ``low`` to ``high``, both included."""
+    return F.filter(F.sequence(F.lit(low), F.lit(high)), lambda p: F.array_contains(F.array(*(F.lit(c) for c in SCALE)), p % 12))
+
+
+def by_pitch(wide: DataFrame, ids: list[str], prefix: str) -> DataFrame:
+    """(ids, pitch, value) of the columns ``prefix`` + number, the number cast."""
+    long = wide.unpivot(ids, [c for c in wide.columns if c.startswith(prefix)], "feature", "value")
+    return long.select(*ids, F.regexp_replace("feature", f"^{prefix}", "").cast("int").alias("pitch"), "value")
+
+
+def row_mean(columns: list[str]) -> Column:
+    """Mean across columns of a row; nulls do not count."""
+    values = F.array_compact(F.array(*(F.col(c).cast("double") for c in columns)))
+    return F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values))
+
+
+def density(rows: DataFrame, value: str, points: list[float], bandwidth: float, groups: list[str] = []) -> DataFrame:  # noqa: B006
+    """(groups, point, density): Gaussian kernel density at the points.
+
+    Equal values are counted first, so what meets the points is a row a distinct value.
+    """
+    counts = rows.groupBy(*groups, F.col(value).cast("double").alias("__v")).agg(F.count("*").alias("__n"))
+    spread = counts.select("*", F.explode(F.array(*(F.lit(float(p)) for p in points))).alias("point"))
+    kernel = F.exp(-0.5 * F.pow((F.col("point") - F.col("__v")) / bandwidth, 2)) / (bandwidth * (2 * math.pi) ** 0.5)
+    return spread.groupBy(*groups, "point").agg((F.sum(F.col("__n") * kernel) / F.sum("__n")).alias("density"))
+
+
+def score_cell(mean: str, deviation: str) -> Column:
+    """Mean and deviation as a table cell."""
+    return F.format_string("$%.1f^{\\pm %.1f}$", F.col(mean), F.col(deviation))
+
+
+def percent_cell(share: Column | str) -> Column:
+    return F.format_string("%.2f%%", 100 * (F.col(share) if isinstance(share, str) else share))
+
+
+def param_string(params: Column) -> Column:
+    """``k=v, ...`` of a map of strings."""
+    return F.array_join(F.transform(F.map_entries(params), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.linalg import Vectors as OldVectors
-from pyspark.mllib.linalg.distributed import IndexedRowMatrix
+from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +27,7 @@ def pca(rows: DataFrame, k: int = 2) -> DataFrame:
 
 def svd(rows: DataFrame, k: int = 2) -> DataFrame:
     """(id, v): projections on the first k right singular vectors, without centring."""
-    matrix = IndexedRowMatrix(rows.select(F.col("id").cast("long"), "features").rdd.map(lambda r: (r[0], OldVectors.dense(r[1].toArray()))))
+    matrix = RowMatrix(rows.select("features").rdd.map(lambda r: OldVectors.dense(r[0].toArray())))
     basis = matrix.computeSVD(k).V.toArray()  # features x k
     shared = rows.sparkSession.sparkContext.broadcast(basis)
 
@@ -35,7 +35,11 @@ def svd(rows: DataFrame, k: int = 2) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "v": (np.array(frame["x"].tolist(), float) @ shared.value).tolist()})
 
-    return rows.select(F.col("id").cast("long").alias("id"), vector_to_array("features").alias("x")).mapInPandas(project, "id long, v array<double>")
+    return rows.select("id", vector_to_array("features").alias("x")).mapInPandas(project, f"id {kind_of(rows)}, v array<double>")
+
+
+def kind_of(rows: DataFrame) -> str:
+    return rows.schema["id"].dataType.simpleString()
 
 
 def tsne_array(x: np.ndarray, perplexity: float = 30.0, steps: int = 300, rate: float = 200.0, seed: int = 0) -> np.ndarray:
@@ -84,11 +88,11 @@ def tsne(rows: DataFrame, perplexity: float = 30.0, steps: int = 300, seed: int
     on all rows if there are no more.  Every other row stands at the mean of its
     nearest fitted rows, weighted by inverse distance.
     """
-    width = rows.select(F.size(vector_to_array("features"))).first()
+    kind, width = kind_of(rows), rows.select(F.size(vector_to_array("features"))).first()
     if width is not None and width[0] > 50:
         rows = svd(rows, 50)
     else:
-        rows = rows.select(F.col("id").cast("long").alias("id"), vector_to_array("features").alias("v"))
+        rows = rows.select("id", vector_to_array("features").alias("v"))
     h = F.xxhash64("id")
     bound = rows.select(h.alias("h")).orderBy("h").limit(most_rows).agg(F.max("h")).first()[0]
     fitted = F.coalesce(h <= F.lit(bound), F.lit(True))
@@ -98,9 +102,9 @@ def tsne(rows: DataFrame, perplexity: float = 30.0, steps: int = 300, seed: int
         y = tsne_array(np.array(frame["v"].tolist(), float), perplexity, steps, seed=seed)
         return pd.DataFrame({"id": frame["id"].to_numpy(), "v": frame["v"].tolist(), "x": y[:, 0], "y": y[:, 1]})
 
-    fit = rows.where(fitted).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(embed, "id long, v array<double>, x double, y double").toPandas()
+    fit = rows.where(fitted).withColumn("all", F.lit(0)).groupBy("all").applyInPandas(embed, f"id {kind}, v array<double>, x double, y double").toPandas()
     spark = rows.sparkSession
-    own = spark.createDataFrame(fit[["id", "x", "y"]], "id long, x double, y double")
+    own = spark.createDataFrame(fit[["id", "x", "y"]], f"id {kind}, x double, y double")
     shared = spark.sparkContext.broadcast((np.array(fit["v"].tolist(), float), fit[["x", "y"]].to_numpy()))  # at most most_rows
 
     def place(frames):
@@ -116,4 +120,4 @@ def tsne(rows: DataFrame, perplexity: float = 30.0, steps: int = 300, seed: int
                 xy = (at[near] * weight[:, :, None]).sum(1) / weight.sum(1)[:, None]
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "x": xy[:, 0], "y": xy[:, 1]})
 
-    return own.unionByName(rows.where(~fitted).mapInPandas(place, "id long, x double, y double"))
+    return own.unionByName(rows.where(~fitted).mapInPandas(place, f"id {kind}, x double, y double"))

@@ -1,60 +1,52 @@
-"""k nearest neighbours, exact, in blocks of training rows."""
+"""k nearest neighbours, exact, in blocks of training rows and of queries."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Training rows that go out at once.
+#: Rows of either side in one block.
 BLOCK_ROWS = 50_000
 #: Distances held at once by a task.
 CELLS = 4_000_000
-
-
-def _blocks(train: DataFrame, key: str, label: str, vector: str, rows: int):
-    ids, labels, vectors = [], [], []
-    for row in train.select(key, label, vector).toLocalIterator():
-        ids.append(row[0])
-        labels.append(row[1])
-        vectors.append(row[2])
-        if len(ids) == rows:
-            yield np.array(ids), np.array(labels), np.array(vectors, float)
-            ids, labels, vectors = [], [], []
-    if ids:
-        yield np.array(ids), np.array(labels), np.array(vectors, float)
+FOUND = "query long, train long, label int, distance double"
 
 
 def neighbours(train: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", label: str = "label", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query, train, label, distance): the k nearest training rows of each query, ties by training key.
 
-    Training rows go out in blocks of bounded size; each task keeps the k best
-    of a block for its queries, and a last step merges the blocks.
+    Both sides are dealt into blocks by hash, and every block of training rows
+    meets every block of queries in a task of its own, which keeps the k best;
+    a last step merges them.  Neither side passes the driver.
     """
-    spark, found = queries.sparkSession, None
-    schema = "query long, train long, label int, distance double"
-    for block in _blocks(train, key, label, vector, block_rows):
-        shared = spark.sparkContext.broadcast(block)  # at most block_rows rows
-
-        def search(batches, shared=shared):
-            ids, labels, vectors = shared.value
-            order = np.argsort(ids, kind="stable")
-            ids, labels, vectors = ids[order], labels[order], vectors[order]
-            step = max(1, CELLS // max(1, vectors.size))
-            for batch in batches:
-                q = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                for at in range(0, len(q), step):
-                    d = np.sqrt(((q[at : at + step, None, :] - vectors[None]) ** 2).sum(-1))
-                    best = np.argsort(d, axis=1, kind="stable")[:, :k]
-                    n = best.shape[1]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own[at : at + step], n)), pa.array(ids[best].ravel().astype(np.int64)), pa.array(labels[best].ravel().astype(np.int32)), pa.array(np.take_along_axis(d, best, 1).ravel())], names=["query", "train", "label", "distance"])
-
-        part = queries.select(key, vector).mapInArrow(search, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], schema)
+    spark = queries.sparkSession
+    blocks = max(1, math.ceil(train.count() / block_rows))
+    sides = max(1, math.ceil(queries.count() / block_rows), math.ceil(spark.sparkContext.defaultParallelism / blocks))
+
+    def dealt(rows: DataFrame, own: str, n: int, other: str, m: int, *columns: str) -> DataFrame:
+        block = F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(own)
+        return rows.select(*columns, block, F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other))
+
+    def search(known: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if known.empty or asked.empty:
+            return pd.DataFrame({"query": [], "train": [], "label": [], "distance": []})
+        known = known.sort_values(key, kind="stable")
+        ids, labels, vectors = known[key].to_numpy(np.int64), known[label].to_numpy(np.int32), np.array(known[vector].tolist(), float)
+        own, q = asked[key].to_numpy(np.int64), np.array(asked[vector].tolist(), float)
+        step, out = max(1, CELLS // max(1, vectors.size)), []
+        for at in range(0, len(q), step):
+            d = np.sqrt(((q[at : at + step, None, :] - vectors[None]) ** 2).sum(-1))
+            best = np.argsort(d, axis=1, kind="stable")[:, :k]
+            out.append(pd.DataFrame({"query": np.repeat(own[at : at + step], best.shape[1]), "train": ids[best].ravel(), "label": labels[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()}))
+        return pd.concat(out)
+
+    left = dealt(train, "t", blocks, "q", sides, key, label, vector).groupBy("t", "q")
+    right = dealt(queries, "q", sides, "t", blocks, key, vector).groupBy("t", "q")
+    found = left.cogroup(right).applyInPandas(search, FOUND)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "train"))
     return found.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")
 

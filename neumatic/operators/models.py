@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import math
 import random
 import time
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
+import pandas as pd
+from pyspark.ml.classification import LinearSVC, OneVsRest, OneVsRestModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neumatic.operators import metrics
@@ -81,7 +83,8 @@ class SquaredMargin:
 
     def fit(self, train: DataFrame):
         rows = train.select(F.col("label").cast("int").alias("label"), vector_to_array("features").alias("x")).cache()
-        width, classes = len(rows.first()["x"]) + 1, 1 + rows.agg(F.max("label")).first()[0]
+        size, last = rows.agg(F.max(F.size("x")), F.max("label")).first()
+        width, classes = (size or 0) + 1, (last or 0) + 1
         w, speed, step = np.zeros((classes, width)), np.zeros((classes, width)), None
         for k in range(self.steps):
             ahead = w + 0.9 * speed
@@ -95,14 +98,15 @@ class SquaredMargin:
                     short = np.maximum(0, 1 - y * (x @ shared.value.T))
                     total -= 2 * (y * short).T @ x
                     norm += float((x * x).sum())
-                import pandas as pd
-
                 yield pd.DataFrame({"g": [total.ravel().tolist()], "norm": [norm]})
 
             parts = rows.mapInPandas(slopes, "g array<double>, norm double")
-            sums = parts.agg(F.sum("norm"), *(F.sum(F.get("g", F.lit(i))) for i in range(w.size))).first()
-            gradient = ahead + self.c * np.array(sums[1:], float).reshape(w.shape)
-            step = step or 1.0 / (1.0 + 2 * self.c * max(sums[0], 1e-9) / 4)
+            # a row a weight, summed before the shuffle; the square norm stands behind the weights
+            sums = parts.select(F.posexplode(F.concat("g", F.array("norm"))).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+            total = np.zeros(w.size + 1)
+            total[sums["i"].to_numpy(int)] = sums["v"].to_numpy(float)
+            gradient = ahead + self.c * total[:-1].reshape(w.shape)
+            step = step or 1.0 / (1.0 + 2 * self.c * max(total[-1], 1e-9) / 4)
             new = ahead - step * gradient
             speed, w = new - w, new
         rows.unpersist()
@@ -113,8 +117,6 @@ class SquaredMargin:
         shared = rows.sparkSession.sparkContext.broadcast(self.w)
 
         def say(frames):
-            import pandas as pd
-
             for frame in frames:
                 x = np.column_stack([np.array(frame["x"].tolist(), float), np.ones(len(frame))])
                 yield pd.DataFrame({"id": frame["id"], "y": frame["y"], "p": (x @ shared.value.T).argmax(1).astype(float)})
@@ -142,7 +144,7 @@ class Nearest:
         return rows.select("id", F.col("label").alias("y")).join(said, F.col("id") == F.col("query")).select("id", "y", F.col("prediction").cast("double").alias("p"))
 
 
-CLASSIFIERS = {"random_forest": (Forest, RF_SPACE), "linear_svc": (LinearMargin, SVC_SPACE), "squared_svc": (SquaredMargin, SVC_SPACE), "knn": (Nearest, KNN_SPACE)}
+CLASSIFIERS = {"random_forest": (Forest, RF_SPACE), "linear_svc": (SquaredMargin, SVC_SPACE), "hinge_svc": (LinearMargin, SVC_SPACE), "knn": (Nearest, KNN_SPACE)}
 
 
 def tune(rows: DataFrame, classifier: str, n_iter: int, seed: int = 0, fold: str = "fold", space: dict | None = None, prepare=None) -> list[dict]:
@@ -176,3 +178,31 @@ def tune(rows: DataFrame, classifier: str, n_iter: int, seed: int = 0, fold: str
 def train_best(train: DataFrame, classifier: str, tuned: list[dict]):
     """The classifier with the settings of rank 1, fitted on all rows."""
     return CLASSIFIERS[classifier][0](**tuned[0]["params"]).fit(train)
+
+
+def save(model, path: str, spark: SparkSession) -> None:
+    """Write a fitted classifier: what kind it is, its settings, and what it learned."""
+    kind = next(name for name, (make, _) in CLASSIFIERS.items() if type(model) is make)
+    settings = {"k": model.k, "weights": model.weights} if kind == "knn" else {}
+    spark.createDataFrame([(kind, json.dumps(settings))], "kind string, settings string").write.mode("overwrite").parquet(f"{path}/about")
+    if kind == "knn":
+        model.train.write.mode("overwrite").parquet(f"{path}/learned")
+    elif kind == "linear_svc":
+        rows = [(i, [float(x) for x in w]) for i, w in enumerate(model.w)]
+        spark.createDataFrame(rows, "label int, w array<double>").write.mode("overwrite").parquet(f"{path}/learned")
+    else:
+        model.model.write().overwrite().save(f"{path}/learned")
+
+
+def load(path: str, spark: SparkSession):
+    """The classifier that ``save`` wrote; it predicts as before."""
+    kind, settings = spark.read.parquet(f"{path}/about").first()
+    settings = json.loads(settings)
+    model = CLASSIFIERS[kind][0]()
+    if kind == "knn":
+        model.k, model.weights, model.train = settings["k"], settings["weights"], spark.read.parquet(f"{path}/learned")
+    elif kind == "linear_svc":
+        model.w = np.array([r.w for r in spark.read.parquet(f"{path}/learned").orderBy("label").collect()])  # a row a class
+    else:
+        model.model = (RandomForestClassificationModel if kind == "random_forest" else OneVsRestModel).load(f"{path}/learned")
+    return model

@@ -53,3 +53,13 @@ def stratified_folds(rows: DataFrame, label: str, k: int, seed: int = 0, key: st
     at = F.row_number().over(Window.partitionBy(label, "__s").orderBy("__h", key)) - 1
     joined = hashed.withColumn("__at", at).join(starts, F.col(label).eqNullSafe(F.col("__l")) & (F.col("__s") == F.col("__t")))
     return joined.withColumn("fold", ((F.col("__begin") + F.col("__at")) % k).cast("int")).drop("__h", "__s", "__l", "__t", "__begin", "__at")
+
+
+def random_rows(rows: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
+    """``n`` rows drawn by hash order."""
+    return rows.orderBy(draw(key, seed=seed), key).limit(n)
+
+
+def head(rows: DataFrame, n: int, key: str = "id") -> DataFrame:
+    """The first ``n`` rows by key."""
+    return rows.orderBy(key).limit(n)

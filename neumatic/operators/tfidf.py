@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, Window
@@ -28,26 +29,31 @@ def weights(counts: DataFrame, vocab: DataFrame, documents: int, key: str = "id"
     return joined.select(key, "term", (F.col("x") / norm).alias("weight"))
 
 
-def tfidf(units: DataFrame, key: str = "id", size: int = MAX_FEATURES) -> DataFrame:
+def tfidf(units: DataFrame, key: str = "id", size: int = MAX_FEATURES, documents: int | None = None) -> DataFrame:
+    """Weights of every document's terms; ``documents`` is their number, where the caller can count them more cheaply."""
     counts = term_counts(units, key)
-    return weights(counts, vocabulary(counts, size), units.count(), key)
+    return weights(counts, vocabulary(counts, size), units.count() if documents is None else documents, key)
 
 
 class VectorizerModel:
     """Fitted stages: counts, idf with one added, unit length."""
 
-    def __init__(self, counts, scale, output: str):
-        self.stages = [counts, ElementwiseProduct(scalingVec=scale, inputCol="__tf", outputCol="__x"), Normalizer(p=2.0, inputCol="__x", outputCol=output)]
+    def __init__(self, stages: list):
+        self.stages = stages
 
     def transform(self, df: DataFrame) -> DataFrame:
-        for stage in self.stages:
-            df = stage.transform(df)
-        return df.drop("__tf", "__x")
+        return PipelineModel(self.stages).transform(df).drop("__tf", "__x")
+
+    def save(self, path: str) -> None:
+        PipelineModel(self.stages).write().overwrite().save(path)
+
+    @classmethod
+    def load(cls, path: str) -> VectorizerModel:
+        return cls(PipelineModel.load(path).stages)
 
 
 def fit_vectorizer(df: DataFrame, units: str = "units", output: str = "features", size: int = MAX_FEATURES) -> VectorizerModel:
     counts = CountVectorizer(inputCol=units, outputCol="__tf", vocabSize=size, minDF=1.0).fit(df)
     idf = IDF(inputCol="__tf", outputCol="__i").fit(counts.transform(df)).idf.toArray() + 1.0
-    return VectorizerModel(counts, Vectors.dense(idf), output)
-
-
+    scale = ElementwiseProduct(scalingVec=Vectors.dense(idf), inputCol="__tf", outputCol="__x")
+    return VectorizerModel([counts, scale, Normalizer(p=2.0, inputCol="__x", outputCol=output)])

@@ -11,12 +11,14 @@ from collections.abc import Callable
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from neumatic.functions import features, neume, represent, segment
-from neumatic.functions.alphabet import FLAT_OF_NOTE, INTERVAL_CODES, PITCHES, char_class, characters
+from neumatic.functions.alphabet import FLAT_OF_NOTE, GROUPS, INTERVAL_CODES, PITCHES, char_class, characters
 from neumatic.operators import analysis, embed, filters, knn, metrics, models, split, tfidf
 from neumatic.plans import experiment
-from neumatic.sources.views import MELODIES_SQL, melodies, table
+from neumatic.sources import tables
+from neumatic.sources.views import CHANTS_SQL, MELODIES_SQL, chants, melodies, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,6 +68,7 @@ def sql_strip(column: str, kept: str) -> str:
 
 _PROCESSED = sql_strip(sql_expand("volpiano", True), neume.KEPT + "-")
 WITH_M = f"WITH m AS ({MELODIES_SQL})"
+WITH_C = f"WITH m AS ({CHANTS_SQL})"
 WITH_P = f"{WITH_M}, p AS (SELECT id, {_PROCESSED} AS pv FROM m WHERE volpiano IS NOT NULL)"
 WITH_N = f"{WITH_P}, n AS (SELECT id, replace(pv, '-', '') AS notes FROM p)"
 
@@ -83,8 +86,13 @@ letters AS (SELECT id, unit_no, pos, ascii(translate(substr(unit, CAST(pos AS IN
   FROM (SELECT id, unit_no, unit, unnest(range(1, length(unit) + 1)) AS pos FROM w))"""
 
 
-def processed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return melodies(spark, sf_dir).where("volpiano is not null").select("id", neume.process(F.col("volpiano")).alias("pv"))
+def once(column: Column) -> Column:
+    """The column from a generator, which keeps the optimizer from copying its expression into every filter above."""
+    return F.explode(F.array(column))
+
+
+def processed(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    return melodies(spark, sf_dir).where("volpiano is not null").select("id", *more, once(neume.process(F.col("volpiano"))).alias("pv"))
 
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,23 +149,52 @@ for _kind in segment.NATURAL:
     def _(spark, sf_dir, kind=_kind):
         return processed(spark, sf_dir).select("id", F.array_join(segment.natural(F.col("pv"), kind), " ").alias("units"))
 
-for _k in (1, 2, 3, 4, 6, 10, 16):
+for _k in segment.KMERS:
     @query(f"segment_kmers_{_k}", f"{WITH_N} SELECT id, array_to_string(regexp_extract_all(notes, '.{{1,{_k}}}'), ' ') AS units FROM n")
     def _(spark, sf_dir, k=_k):
         return notes(spark, sf_dir).select("id", F.array_join(segment.kmers(F.col("notes"), k), " ").alias("units"))
 
-for _mean in segment.POISSON_MEANS:
-    _CDF = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in segment.poisson_cdf(_mean - 1)) + "]"
-
-    @query(f"segment_poisson_{_mean}", f"""{WITH_N}, steps AS (SELECT id, notes, unnest(range(0, length(notes))) AS unit_no FROM n WHERE length(notes) > 0),
-sized AS (SELECT id, notes, unit_no, 1 + len(list_filter({_CDF}, lambda x: x <= u)) AS size
-  FROM (SELECT *, CAST(('0x' || substr(md5(id || '|' || unit_no || '|0'), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM steps)),
+def sql_poisson(mean: int, seed: int = 0) -> str:
+    cdf = "[" + ", ".join(f"CAST({x!r} AS DOUBLE)" for x in segment.poisson_cdf(mean - 1)) + "]"
+    return f"""{WITH_N}, steps AS (SELECT id, notes, unnest(range(0, length(notes))) AS unit_no FROM n WHERE length(notes) > 0),
+sized AS (SELECT id, notes, unit_no, 1 + len(list_filter({cdf}, lambda x: x <= u)) AS size
+  FROM (SELECT *, CAST(('0x' || substr(md5(id || '|' || unit_no || '|{seed}'), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM steps)),
 placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY id ORDER BY unit_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized)
-SELECT id, CAST(unit_no AS INTEGER) AS unit_no, substr(notes, CAST(start AS INTEGER) + 1, CAST(size AS INTEGER)) AS unit FROM placed WHERE start < length(notes)""")
+SELECT id, CAST(unit_no AS INTEGER) AS unit_no, substr(notes, CAST(start AS INTEGER) + 1, CAST(size AS INTEGER)) AS unit FROM placed WHERE start < length(notes)"""
+
+
+for _mean in segment.POISSON_MEANS:
+    @query(f"segment_poisson_{_mean}", sql_poisson(_mean))
     def _(spark, sf_dir, mean=_mean):
         return segment.poisson(notes(spark, sf_dir), mean)
 
 
+_COUNTED = [f"SELECT '{k}' AS segmentation, CAST(sum(len({sql_units(k)})) AS BIGINT) AS n_units FROM p" for k in segment.NATURAL]
+_COUNTED += [f"SELECT '{k}-mer', CAST(sum(ceil(length(replace(pv, '-', '')) / {k}.0)) AS BIGINT) FROM p" for k in segment.KMERS]
+_COUNTED += [f"SELECT 'poisson-{m}', count(*) FROM ({sql_poisson(m, m)})" for m in segment.POISSON_MEANS]
+
+
+@query("segmentation_sizes", f"{WITH_P} " + " UNION ALL ".join(_COUNTED))
+def _(spark, sf_dir):
+    units = experiment.units_table(processed(spark, sf_dir).withColumnRenamed("pv", "processed"))
+    return units.groupBy("segmentation").agg(F.sum(F.size("units")).alias("n_units"))
+
+
+@query("split_string", f"{WITH_M} SELECT id, array_to_string(string_split(volpiano, '--'), '|') AS parts, array_to_string(string_split(volpiano, '--'), '--|') AS kept FROM m WHERE volpiano IS NOT NULL")
+def _(spark, sf_dir):
+    v = F.col("volpiano")
+    return melodies(spark, sf_dir).where("volpiano is not null").select("id", F.array_join(neume.split_string(v, "--", False), "|").alias("parts"), F.array_join(neume.split_string(v, "--"), "|").alias("kept"))
+
+
+def sql_values(rows: list[tuple], names: str) -> str:
+    return "(VALUES " + ", ".join("(" + ", ".join(q(x) for x in row) + ")" for row in rows) + f") AS {names}"
+
+
+@query("character_groups", "SELECT kind, chars FROM " + sql_values([(g, characters(g)) for g in GROUPS], "t(kind, chars)"))
+def _(spark, sf_dir):
+    return spark.createDataFrame([(g, characters(g)) for g in GROUPS], "kind string, chars string")
+
+
 @query("unit_counts", f"{WITH_P} SELECT id, " + ", ".join(f"CAST(len({sql_units(k)}) AS BIGINT) AS n_{k}" for k in segment.NATURAL) + ", CAST(ceil(length(replace(pv, '-', '')) / 4.0) AS BIGINT) AS n_4mers FROM p")
 def _(spark, sf_dir):
     df = processed(spark, sf_dir)
@@ -192,6 +229,32 @@ SELECT id, string_agg(u, ' ' ORDER BY unit_no) AS units FROM u GROUP BY id""")
             return units.select("id", F.array_join(represent.representation(F.col("u"), kind, dependent, strict=False), " ").alias("units"))
 
 
+for _kind in ("interval", "contour"):
+    for _name, _flags in (("unsegmented", {"segment": False}), ("headless", {"first_interval_empty": False})):
+        _code = _sql_code(_kind, "d")
+        _code = _code if _name == "unsegmented" else f"CASE WHEN d IS NULL THEN '' ELSE {_code} END"
+        _sep = "''" if _name == "unsegmented" else "' '"
+
+        @query(f"{_kind}_{_name}", f"""{WITH_WORDS}, d AS (SELECT id, unit_no, pos, pitch - lag(pitch) OVER (PARTITION BY id ORDER BY unit_no, pos) AS d FROM letters),
+u AS (SELECT id, unit_no, string_agg({_code}, '' ORDER BY pos) AS u FROM d GROUP BY id, unit_no)
+SELECT id, string_agg(u, {_sep} ORDER BY unit_no) AS codes FROM u GROUP BY id""")
+        def _(spark, sf_dir, kind=_kind, flags=_flags):
+            units = processed(spark, sf_dir).select("id", F.array_join(segment.natural(F.col("pv"), "words"), " ").alias("u")).where("u <> ''")
+            return units.select("id", represent.represent(F.col("u"), kind, strict=False, **flags).alias("codes"))
+
+
+@query("intervals", f"{WITH_PITCH}, d AS (SELECT id, pos, pitch - lag(pitch) OVER (PARTITION BY id ORDER BY pos) AS d FROM pitch) SELECT id, string_agg(CAST(d AS VARCHAR), ' ' ORDER BY pos) AS steps FROM d WHERE d IS NOT NULL GROUP BY id")
+def _(spark, sf_dir):
+    steps = pitched(spark, sf_dir).where(F.size("p") > 1).select("id", represent.intervals(F.col("p")).alias("d"))
+    return steps.select("id", F.array_join(F.transform("d", lambda x: x.cast("string")), " ").alias("steps"))
+
+
+@query("copy_segmentation", f"{WITH_P}, u AS (SELECT id, {sql_units('words')} AS u FROM p) SELECT id, upper(array_to_string(u, ' ')) AS units FROM u WHERE len(u) > 0")
+def _(spark, sf_dir):
+    rows = processed(spark, sf_dir).select("id", F.array_join(segment.natural(F.col("pv"), "words"), " ").alias("u"), F.upper(neume.notes_only(F.col("pv"))).alias("target")).where("u <> ''")
+    return rows.select("id", represent.copy_segmentation(F.col("u"), F.col("target")).alias("units"))
+
+
 @query("char_table", f"{WITH_P} SELECT id, array_to_string(list_transform(range(1, 101), lambda i: CASE WHEN i <= length(pv) THEN CAST(ascii(substr(pv, CAST(i AS INTEGER), 1)) AS VARCHAR) ELSE '_' END), ' ') AS codes FROM p")
 def _(spark, sf_dir):
     codes = represent.char_table(F.col("pv"))
@@ -201,19 +264,25 @@ def _(spark, sf_dir):
 # ---- features ----
 
 
-def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = notes(spark, sf_dir).where("notes <> ''").select("id", represent.pitch_string(F.col("notes")).alias("coded"))
-    return df.select("id", "coded", F.transform(F.filter(F.split("coded", ""), lambda c: c != ""), F.ascii).alias("p"))
+def coded(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(id, coded): the melodies that have notes, a character a note whose code is the pitch."""
+    df = processed(spark, sf_dir, *more).select("id", *more, once(represent.pitch_string(neume.notes_only(F.col("pv")))).alias("coded"))
+    return df.where("coded <> ''")
+
+
+def pitched(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(id, p): their pitches as numbers."""
+    return coded(spark, sf_dir, *more).select("id", *more, F.transform(F.filter(F.split("coded", ""), lambda c: c != ""), F.ascii).alias("p"))
 
 
 @query("classical_features", f"{WITH_PITCH} SELECT id, arg_min(pitch, pos) AS initial, arg_max(pitch, pos) AS final, min(pitch) AS lowest, max(pitch) AS highest, max(pitch) - min(pitch) AS ambitus FROM pitch GROUP BY id")
 def _(spark, sf_dir):
-    return coded(spark, sf_dir).select("id", *(c.alias(n) for n, c in features.classical(F.col("p")).items()))
+    return pitched(spark, sf_dir).select("id", *(c.alias(n) for n, c in features.classical(F.col("p")).items()))
 
 
 @query("initial_gesture", f"{WITH_PITCH} SELECT id, " + ", ".join(f"max(CASE WHEN pos = {i} THEN pitch END) AS initial_gesture_{i}" for i in (1, 2, 3)) + " FROM pitch GROUP BY id")
 def _(spark, sf_dir):
-    return coded(spark, sf_dir).select("id", *(c.alias(n) for n, c in features.gesture(F.col("p")).items()))
+    return pitched(spark, sf_dir).select("id", *(c.alias(n) for n, c in features.gesture(F.col("p")).items()))
 
 
 @query("pitch_profile", f"{WITH_PITCH} SELECT id, " + ", ".join(f"round(count(*) FILTER (WHERE pitch = {p}) / CAST(count(*) AS DOUBLE), 6) AS freq_MIDI_{p}" for p in features.PITCH_RANGE) + " FROM pitch GROUP BY id")
@@ -231,6 +300,38 @@ def _(spark, sf_dir):
     return coded(spark, sf_dir).select("id", *(six(c).alias(n) for n, c in features.repetition_profile(F.col("coded")).items()))
 
 
+_FEATURES = [f"arg_min(pitch, pos) AS initial, arg_max(pitch, pos) AS final, min(pitch) AS lowest, max(pitch) AS highest, max(pitch) - min(pitch) AS ambitus"]
+_FEATURES += [f"max(CASE WHEN pos = {i} THEN pitch END) AS initial_gesture_{i}" for i in (1, 2, 3)]
+_FEATURES += [f"round(count(*) FILTER (WHERE pitch = {p}) / CAST(count(*) AS DOUBLE), 6) AS freq_MIDI_{p}" for p in features.PITCH_RANGE]
+_FEATURES += [f"round(count(*) FILTER (WHERE pitch % 12 = {c}) / CAST(count(*) AS DOUBLE), 6) AS freq_pitch_class_{c}" for c in range(12)]
+_FEATURES += [f"round(count(*) FILTER (WHERE pitch = {p} AND before = {p}) / CAST(nullif(count(*) - 1, 0) AS DOUBLE), 6) AS repetition_score_MIDI_{p}" for p in features.PITCH_RANGE]
+
+
+@query("feature_table", f"{WITH_PITCH}, r AS (SELECT id, pos, pitch, lag(pitch) OVER (PARTITION BY id ORDER BY pos) AS before FROM pitch) SELECT id, {', '.join(_FEATURES)} FROM r GROUP BY id")
+def _(spark, sf_dir):
+    wide = experiment.features_table(processed(spark, sf_dir).withColumnRenamed("pv", "processed")).where("initial is not null")
+    return wide.select(*(six(c).alias(c) if kind == "double" else c for c, kind in wide.dtypes))
+
+
+_SETS = [("classical", name, c) for name, cs in features.FEATURE_SETS.items() for c in cs] + [("profile", name, c) for name, cs in features.PROFILES.items() for c in cs]
+
+
+@query("feature_sets", "SELECT kind, name, feature FROM " + sql_values(_SETS, "t(kind, name, feature)"))
+def _(spark, sf_dir):
+    return spark.createDataFrame(_SETS, "kind string, name string, feature string")
+
+
+@query("profile_by_mode", f"{WITH_PITCH}, sizes AS (SELECT id, count(*) AS size FROM pitch GROUP BY id), k AS (SELECT id, pitch, count(*) AS k FROM pitch GROUP BY id, pitch), cells AS (SELECT id, mode, size, p FROM sizes JOIN m USING (id), range({features.PITCH_RANGE[0]}, {features.PITCH_RANGE[-1] + 1}) t(p)) SELECT mode, CAST(p AS INTEGER) AS pitch, round(avg(coalesce(k, 0) / CAST(size AS DOUBLE)), 6) AS mean FROM cells LEFT JOIN k ON cells.id = k.id AND k.pitch = p GROUP BY mode, p")
+def _(spark, sf_dir):
+    wide = coded(spark, sf_dir, "mode").select("mode", *(c.alias(n) for n, c in features.pitch_profile(F.col("coded")).items()))
+    return analysis.by_pitch(wide, ["mode"], "freq_MIDI_").groupBy("mode", "pitch").agg(six(F.avg("value")).alias("mean"))
+
+
+@query("scale_pitches", f"SELECT p AS pitch FROM range(53, 87) t(p) WHERE p % 12 IN {analysis.SCALE}")
+def _(spark, sf_dir):
+    return spark.range(1).select(F.explode(analysis.scale_pitches(53, 86)).alias("pitch")).select(F.col("pitch").cast("long").alias("pitch"))
+
+
 # ---- filters, samples, splits ----
 
 _KEEP = [
@@ -254,13 +355,40 @@ def _(spark, sf_dir):
     return filters.funnel(melodies(spark, sf_dir), filters.pipeline("en"))
 
 
-@query("filter_chants", f"{WITH_M}, k AS (SELECT id, {sql_strip('volpiano', neume.KEPT)} AS bare FROM m WHERE {' AND '.join(k for n, k in _KEEP if n not in ('only alphabet', 'no F clef'))}) SELECT min(id) AS id FROM k GROUP BY bare")
+_FILTERED = f"{WITH_C}, k AS (SELECT *, {sql_strip('volpiano', neume.KEPT)} AS bare FROM m WHERE {' AND '.join(k for _, k in _KEEP)}), f AS (SELECT * FROM k WHERE (bare, id) IN (SELECT (bare, min(id)) FROM k GROUP BY bare))"
+
+
+@query("filter_chants", f"{_FILTERED} SELECT id FROM f")
+def _(spark, sf_dir):
+    return filters.filter_chants(chants(spark, sf_dir), "en").select("id")
+
+
+@query("filter_chants_subset", f"{_FILTERED} SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY cantus_id, mode ORDER BY md5('0|' || id), id) AS r FROM f WHERE cantus_id IS NOT NULL) WHERE r = 1")
 def _(spark, sf_dir):
-    kept = melodies(spark, sf_dir)
-    for name, keep in filters.pipeline("en"):
-        if name not in ("only alphabet", "no F clef"):  # no document of prose passes these two
-            kept = kept.where(keep)
-    return filters.unique_notes(kept).select("id")
+    return filters.filter_chants(chants(spark, sf_dir), "en", one_per_family=True).select("id")
+
+
+@query("filter_funnel_chants", WITH_C + " " + " UNION ALL ".join(f"SELECT {i} AS step_no, '{name}' AS step, count(*) FILTER (WHERE {_UPTO[i - 1]}) AS before, count(*) FILTER (WHERE {_UPTO[i]}) AS after, count(*) FILTER (WHERE {_UPTO[i - 1]}) - count(*) FILTER (WHERE {_UPTO[i]}) AS removed FROM m" for i, (name, _) in enumerate(_KEEP, 1)))
+def _(spark, sf_dir):
+    return filters.funnel(chants(spark, sf_dir), filters.pipeline("en"))
+
+
+_MASK = "mode = '3' AND length(volpiano) > 100"
+
+
+@query("mode_mask", f"{WITH_M} SELECT id FROM m WHERE {_MASK}")
+def _(spark, sf_dir):
+    return melodies(spark, sf_dir).where(_MASK).select("id")
+
+
+@query("random_rows", f"{WITH_M} SELECT id FROM m WHERE {_MASK} ORDER BY md5('0|' || id), id LIMIT 20")
+def _(spark, sf_dir):
+    return split.random_rows(melodies(spark, sf_dir).where(_MASK).select("id"), 20)
+
+
+@query("head_slice", f"{WITH_M} SELECT id, mode FROM m ORDER BY id LIMIT 100")
+def _(spark, sf_dir):
+    return split.head(melodies(spark, sf_dir).select("id", "mode"), 100)
 
 
 for _name, _column, _where in (
@@ -319,7 +447,8 @@ def _(spark, sf_dir):
 
 @query("tfidf_weights", f"{_TF}, x AS (SELECT id, term, tf * (ln((1.0 + (SELECT count(*) FROM p)) / (1.0 + df)) + 1) AS x FROM tf JOIN voc USING (term)) SELECT id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), 6) AS weight FROM x")
 def _(spark, sf_dir):
-    return tfidf.tfidf(word_units(spark, sf_dir)).select("id", "term", six("weight").alias("weight"))
+    documents = melodies(spark, sf_dir).where("volpiano is not null").count()
+    return tfidf.tfidf(word_units(spark, sf_dir), documents=documents).select("id", "term", six("weight").alias("weight"))
 
 
 # ---- nearest neighbours and scores ----
@@ -395,12 +524,10 @@ def _(spark, sf_dir):
 
 
 def unit_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = processed(spark, sf_dir)
-    out = None
-    for kind in segment.NATURAL:
-        part = df.select("id", F.lit(kind).alias("unit"), F.explode(segment.natural(F.col("pv"), kind)).alias("u")).select("id", "unit", F.length("u").alias("length"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(id, genre_id, unit, length): a row per unit of each kind, from one pass over the melodies."""
+    kinds = [F.struct(F.lit(kind).alias("unit"), F.transform(segment.natural(F.col("pv"), kind), F.length).alias("lengths")) for kind in segment.NATURAL]
+    df = processed(spark, sf_dir, "genre_id").select("id", "genre_id", F.explode(F.array(*kinds)).alias("x"))
+    return df.select("id", "genre_id", "x.unit", F.explode("x.lengths").alias("length"))
 
 
 _LENGTHS = f"{WITH_P}, l AS (" + " UNION ALL ".join(f"SELECT id, '{k}' AS unit, length(u) AS length FROM (SELECT id, unnest({sql_units(k)}) AS u FROM p)" for k in segment.NATURAL) + ")"
@@ -408,8 +535,7 @@ _LENGTHS = f"{WITH_P}, l AS (" + " UNION ALL ".join(f"SELECT id, '{k}' AS unit,
 
 @query("unit_length_pivot", f"{_LENGTHS} SELECT genre_id, " + ", ".join(f"round(avg(length) FILTER (WHERE unit = '{k}'), 6) AS {k}" for k in segment.NATURAL) + " FROM l JOIN m USING (id) GROUP BY genre_id")
 def _(spark, sf_dir):
-    genres = melodies(spark, sf_dir).select("id", "genre_id")
-    df = analysis.pivot_mean(unit_lengths(spark, sf_dir).join(genres, "id"), "genre_id", "unit", list(segment.NATURAL), "length")
+    df = analysis.pivot_mean(unit_lengths(spark, sf_dir), "genre_id", "unit", list(segment.NATURAL), "length")
     return df.select("genre_id", *(six(k).alias(k) for k in segment.NATURAL))
 
 
@@ -418,6 +544,17 @@ def _(spark, sf_dir):
     return analysis.histogram(unit_lengths(spark, sf_dir), "length", 0, 20, 20, ["unit"])
 
 
+@query("unit_length_filter", f"{_LENGTHS} SELECT genre_id, unit, length, count(*) AS n FROM l JOIN m USING (id) WHERE genre_id IN ('en', 'fr') AND length <= 20 GROUP BY ALL")
+def _(spark, sf_dir):
+    return unit_lengths(spark, sf_dir).where("genre_id in ('en', 'fr') and length <= 20").groupBy("genre_id", "unit", "length").agg(F.count("*").alias("n"))
+
+
+@query("unit_length_density", f"{_LENGTHS} SELECT unit, CAST(x AS DOUBLE) AS point, round(avg(exp(-0.5 * pow((x - length) / 0.4, 2)) / (0.4 * sqrt(2 * pi()))), 6) AS density FROM l, range(0, 20) t(x) WHERE length < 20 GROUP BY unit, x")
+def _(spark, sf_dir):
+    df = analysis.density(unit_lengths(spark, sf_dir).where("length < 20"), "length", list(range(20)), 0.4, ["unit"])
+    return df.select("unit", "point", six("density").alias("density"))
+
+
 @query("chant_length", f"{WITH_M} SELECT id, length({sql_strip(sql_expand('volpiano', False), neume.KEPT)}) AS length FROM m WHERE volpiano IS NOT NULL")
 def _(spark, sf_dir):
     v = neume.clean(neume.expand_accidentals(F.col("volpiano")))
@@ -427,14 +564,14 @@ def _(spark, sf_dir):
 @query("feature_unpivot_join", f"{WITH_PITCH}, f AS (SELECT id, arg_max(pitch, pos) AS final, min(pitch) AS lowest, max(pitch) AS highest FROM pitch GROUP BY id), u AS (SELECT id, 'final' AS feature, final AS value FROM f UNION ALL SELECT id, 'lowest', lowest FROM f UNION ALL SELECT id, 'highest', highest FROM f) SELECT mode, feature, value, count(*) AS n FROM u LEFT JOIN m USING (id) GROUP BY ALL")
 def _(spark, sf_dir):
     own = features.classical(F.col("p"))
-    wide = coded(spark, sf_dir).select("id", *(own[n].alias(n) for n in ("final", "lowest", "highest")))
-    long = analysis.unpivot(wide, ["id"], ["final", "lowest", "highest"])
-    return long.join(melodies(spark, sf_dir).select("id", "mode"), "id", "left").groupBy("mode", "feature", "value").agg(F.count("*").alias("n"))
+    wide = pitched(spark, sf_dir, "mode").select("mode", *(own[n].alias(n) for n in ("final", "lowest", "highest")))
+    long = analysis.unpivot(wide, ["mode"], ["final", "lowest", "highest"])
+    return long.groupBy("mode", "feature", "value").agg(F.count("*").alias("n"))
 
 
 @query("profile_bars", f"{WITH_PITCH}, sizes AS (SELECT id, count(*) AS size FROM pitch GROUP BY id), c AS (SELECT id, pitch, count(*) AS k FROM pitch GROUP BY id, pitch) SELECT pitch, count(*) AS chants, round(avg(k / CAST(size AS DOUBLE)), 6) AS mean, round(avg(k / CAST(size AS DOUBLE)) - 1.96 * stddev_samp(k / CAST(size AS DOUBLE)) / sqrt(count(*)), 6) AS low FROM c JOIN sizes USING (id) WHERE pitch > 59 AND pitch < 80 GROUP BY pitch")
 def _(spark, sf_dir):
-    c = coded(spark, sf_dir)
+    c = pitched(spark, sf_dir)
     rows = c.select("id", F.size("p").alias("size"), F.explode("p").alias("pitch")).groupBy("id", "size", "pitch").agg(F.count("*").alias("k"))
     rows = rows.where("pitch > 59 and pitch < 80").withColumn("share", F.col("k") / F.col("size"))
     half = 1.96 * F.stddev_samp("share") / F.sqrt(F.count("*"))
@@ -468,6 +605,26 @@ def _(spark, sf_dir):
     return analysis.near_maximum(means, ["o_orderstatus"], "score").select("o_orderpriority", "o_orderstatus", six("score").alias("score"), "is_top")
 
 
+@query("run_means", f"{_RUNS} SELECT o_orderpriority, o_orderstatus, " + ", ".join(f"round(avg(score) FILTER (WHERE run = {r}), 6) AS run_{r}" for r in range(5)) + ", round(avg(score), 6) AS mean FROM r GROUP BY ALL")
+def _(spark, sf_dir):
+    names = [f"run_{r}" for r in range(5)]
+    wide = runs(spark, sf_dir).select("o_orderpriority", "o_orderstatus", F.concat(F.lit("run_"), F.col("run").cast("string")).alias("run"), "score")
+    wide = wide.groupBy("o_orderpriority", "o_orderstatus").pivot("run", names).agg(F.avg("score"))
+    return wide.select("o_orderpriority", "o_orderstatus", *(six(n).alias(n) for n in names), six(analysis.row_mean(names)).alias("mean"))
+
+
+@query("score_cells", f"{_RUNS} SELECT o_orderpriority, o_orderstatus, printf('$%.1f^{{\\pm %.1f}}$', 100 * avg(score), 100 * stddev_samp(score)) AS cell FROM r GROUP BY ALL")
+def _(spark, sf_dir):
+    df = analysis.mean_and_deviation(runs(spark, sf_dir), ["o_orderpriority", "o_orderstatus"], ["score"])
+    return df.select("o_orderpriority", "o_orderstatus", analysis.score_cell("score_mean", "score_std").alias("cell"))
+
+
+@query("majority_percent", "WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL) SELECT c_nationkey, printf('%.2f%%', 100 * max(n) / CAST(sum(n) AS DOUBLE)) AS share FROM c GROUP BY c_nationkey")
+def _(spark, sf_dir):
+    df = analysis.majority(table(spark, sf_dir, "customer"), ["c_nationkey"], "c_mktsegment")
+    return df.select("c_nationkey", analysis.percent_cell("share").alias("share"))
+
+
 @query("param_ranks", f"{_RUNS}, a AS (SELECT o_orderpriority, round(avg(score), 6) AS score FROM r GROUP BY ALL) SELECT o_orderpriority, score, CAST(rank() OVER (ORDER BY score DESC) AS INTEGER) AS rank FROM a")
 def _(spark, sf_dir):
     means = runs(spark, sf_dir).groupBy("o_orderpriority").agg(six(F.avg("score")).alias("score"))
@@ -500,7 +657,7 @@ def _(spark, sf_dir):
 
 @query("note_names", f"{WITH_PITCH} SELECT pitch, substr('C C#D EbE F F#G AbA BbB ', CAST(pitch % 12 AS INTEGER) * 2 + 1, 2) AS name, count(*) AS n FROM pitch GROUP BY ALL")
 def _(spark, sf_dir):
-    df = coded(spark, sf_dir).select(F.explode("p").alias("pitch")).groupBy("pitch").agg(F.count("*").alias("n"))
+    df = pitched(spark, sf_dir).select(F.explode("p").alias("pitch")).groupBy("pitch").agg(F.count("*").alias("n"))
     return df.select("pitch", F.rpad(analysis.note_name(F.col("pitch")), 2, " ").alias("name"), "n")
 
 
@@ -509,6 +666,57 @@ def _(spark, sf_dir):
     return spark.createDataFrame(experiment.conditions("profile"))
 
 
+def sql_grid(axes: dict[str, tuple]) -> str:
+    return ", ".join(sql_values([(v,) for v in values], f"t{i}({axis})") for i, (axis, values) in enumerate(axes.items()))
+
+
+for _kind in ("traditional", "tfidf"):
+    @query(f"condition_grid_{_kind}", f"SELECT * FROM {sql_grid(experiment.GRIDS[_kind])}")
+    def _(spark, sf_dir, kind=_kind):
+        return spark.createDataFrame(experiment.conditions(kind))
+
+for _kind in experiment.GRIDS:
+    _said_as = " || ', ' || ".join(f"'{axis}=' || {axis}" for axis in experiment.GRIDS[_kind])
+
+    @query(f"condition_params_{_kind}", f"SELECT {_said_as} AS params FROM {sql_grid(experiment.GRIDS[_kind])}")
+    def _(spark, sf_dir, kind=_kind):
+        rows = spark.createDataFrame(experiment.conditions(kind))
+        return rows.select(analysis.param_string(F.create_map(*(x for axis in experiment.GRIDS[kind] for x in (F.lit(axis), F.col(axis))))).alias("params"))
+
+
+# ---- sources and sinks, written to the shared folder and read back ----
+
+
+@query("chants_csv", f"{WITH_M} SELECT CAST(id AS VARCHAR) AS id, volpiano, mode, genre_id, cantus_id, full_text, incipit FROM m")
+def _(spark, sf_dir):
+    path = tables.scratch(spark, "chants")
+    rows = melodies(spark, sf_dir)
+    tables.write_csv(rows, path)
+    return tables.read_chants(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in rows.columns])).select(*rows.columns)
+
+
+@query("dataset_parquet", f"{WITH_M} SELECT id, mode FROM m WHERE genre_id = 'en' AND cantus_id = 'src0'")
+def _(spark, sf_dir):
+    path = tables.scratch(spark, "dataset")
+    tables.write_dataset(melodies(spark, sf_dir).select("id", "mode", "incipit", "genre_id", "cantus_id"), path, ("genre_id", "cantus_id"))
+    return tables.read_dataset(spark, path, ["mode"], genre_id="en", cantus_id="src0")
+
+
+@query("predictions_text", "SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_no, quality AS p FROM labels")
+def _(spark, sf_dir):
+    path = tables.scratch(spark, "predictions")
+    tables.write_predictions(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("p")), path)
+    return tables.read_predictions(spark, path)
+
+
+@query("scores_csv", "SELECT run, feature, n FROM " + sql_values([("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")], "t(run, feature)") + " JOIN (VALUES ('x', 1), ('y', 2)) AS u(feature, n) USING (feature)")
+def _(spark, sf_dir):
+    path = tables.scratch(spark, "scores")
+    for run in "ab":
+        tables.write_rows(spark, [{"feature": "x", "n": 1}, {"feature": "y", "n": 2}], f"{path}/{run}.csv")
+    return tables.read_runs(spark, path + "/{run}.csv", ["a", "b", "missing"]).select("run", "feature", "n")
+
+
 @query("runs_union", "SELECT 'a' AS run, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL UNION ALL SELECT 'b', c_mktsegment, count(*) FROM customer WHERE c_acctbal > 0 GROUP BY ALL")
 def _(spark, sf_dir):
     rows = table(spark, sf_dir, "customer")

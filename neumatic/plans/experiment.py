@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from neumatic.functions import features, neume, represent, segment
-from neumatic.operators import filters, metrics, models, split, tfidf
+from neumatic.operators import embed, filters, metrics, models, split, tfidf
 from neumatic.sources import tables
 
 GENRES, SUBSETS, SPLITS = ("responsory", "antiphon"), ("full", "subset"), ("train", "test")
@@ -105,8 +105,13 @@ def run_condition(spark: SparkSession, data_dir: str, results_dir: str, kind: st
     prepare = (lambda rows: tfidf.fit_vectorizer(rows).transform) if kind == "tfidf" else None
     tuned = models.tune(folded, classifier, n_iter, seed, space=space, prepare=prepare)
     tables.write_rows(spark, tuned, f"{name}-tuning.csv")
-    change = prepare(train) if prepare else (lambda rows: rows)
+    change = lambda rows: rows
+    if kind == "tfidf":
+        vectorizer = tfidf.fit_vectorizer(train)
+        vectorizer.save(f"{name}-vectorizer")
+        change = vectorizer.transform
     model = models.train_best(change(train), classifier, tuned)
+    models.save(model, f"{name}-model", spark)
     for part, rows in zip(SPLITS, (train, test)):
         tables.write_predictions(model.predict(change(rows)), f"{name}-{part}-pred.txt")
     for df in (train, test, folded):
@@ -133,3 +138,28 @@ def evaluate(spark: SparkSession, experiment_type: str, data_dir: str, results_d
     rows = [evaluate_condition(spark, data_dir, results_dir, experiment_type, c) for c in conditions(experiment_type, **settings)]
     tables.write_rows(spark, rows, f"{results_dir}/scores.csv")
     return rows
+
+
+EMBEDDERS = {"pca": embed.pca, "svd": lambda rows: embed.svd(rows).select("id", F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y")), "tsne": embed.tsne}
+
+
+def embed_condition(spark: SparkSession, data_dir: str, results_dir: str, condition: dict, embedder: str, part: str, rows: int | None = None, refresh: bool = False) -> str:
+    """Write x, y and label of one condition's tf-idf vectors by id; an existing result stays unless ``refresh``.
+
+    ``rows`` embeds the first rows by id only; without it, all.
+    """
+    path = f"{results_dir}/embeddings/{condition['genre']}/{condition['subset']}/{condition['representation']}/{embedder}-{part}-{condition['segmentation']}.csv"
+    if refresh or not tables.exists(spark, path):
+        data = load(spark, data_dir, "tfidf", condition, part)
+        data = data if rows is None else split.head(data, rows)
+        found = EMBEDDERS[embedder](tfidf.fit_vectorizer(data).transform(data))
+        labels = data.select("id", (F.col("label") + 1).cast("int").alias("mode"))
+        tables.write_embedding(labels.join(found, "id"), path, refresh=True)
+    return path
+
+
+def run_embeddings(spark: SparkSession, data_dir: str, results_dir: str, embedders="all", splits="all", rows: int | None = None, refresh: bool = False, **settings) -> list[str]:
+    """Every condition, embedder and split asked for."""
+    embedders, splits = (all_ if chosen == "all" else chosen for chosen, all_ in ((embedders, EMBEDDERS), (splits, SPLITS)))
+    chosen = {k: v for k, v in settings.items() if k in PLURALS.values() and k != "classifiers"}
+    return [embed_condition(spark, data_dir, results_dir, c, e, p, rows, refresh) for c in conditions("tfidf", **chosen) for e in embedders for p in splits]

@@ -5,9 +5,10 @@ from __future__ import annotations
 import hashlib
 import logging
 import os
+import tempfile
+import uuid
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +16,16 @@ CHANT_COLUMNS = ("id", "incipit", "cantus_id", "mode", "finalis", "siglum", "pos
 CHANTS = T.StructType([T.StructField(c, T.StringType()) for c in CHANT_COLUMNS])
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); on one machine alone a temporary folder will do."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="neumatic-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_chants(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Chants from CSV with a header; all columns are strings, and unknown ones pass through."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
@@ -25,7 +36,7 @@ def read_chants(spark: SparkSession, path: str, schema: T.StructType | None = No
 
 def write_csv(df: DataFrame, path: str, key: str = "id") -> str:
     """One CSV file sorted by key, and the checksum of its rows."""
-    df.orderBy(key).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.orderBy(key).coalesce(1).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return checksum(df)
 
 
@@ -62,10 +73,18 @@ def write_predictions(pairs: DataFrame, path: str) -> None:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """(row_no, p) of predictions in text lines."""
-    whole = spark.read.option("wholetext", True).text(path)
-    lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", "\\n$", ""), "\n")).alias("row_no", "value"))
-    return lines.select("row_no", F.col("value").cast("int").alias("p"))
+    """(row_no, p) of predictions in text lines, numbered in file order without gathering them anywhere.
+
+    Lines of a split are numbered by where they stand in it, and splits of a
+    file by where they begin; a table of split sizes gives each its first number.
+    """
+    at = "_metadata"
+    lines = spark.read.text(path).select("value", F.col(f"{at}.file_name").alias("file"), F.col(f"{at}.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
+    first = lines.groupBy("file", "block").agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    first = first.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    numbered = lines.join(first, ["file", "block"])
+    return numbered.select((F.col("begin") + F.col("place") - F.col("first")).alias("row_no"), F.col("value").cast("int").alias("p"))
 
 
 def write_rows(spark: SparkSession, rows: list[dict], path: str) -> None:
@@ -92,12 +111,11 @@ def read_runs(spark: SparkSession, pattern: str, runs: list[str]) -> DataFrame:
     return found
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table stands at the path, in whatever store it is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(conf).exists(at)
 
 
 def write_embedding(df: DataFrame, path: str, refresh: bool = False) -> None:
@@ -117,6 +135,7 @@ def read_settings(path: str) -> dict:
 
 
 def start_log(name: str, folder: str, **settings) -> logging.Logger:
+    """A log file with a header and the settings; experiments add their results to it."""
     os.makedirs(folder, exist_ok=True)
     log = logging.getLogger(name)
     log.setLevel(logging.INFO)

@@ -109,3 +109,32 @@ def test_poisson(spark):
 def test_alphabet():
     assert characters() == "3456712()ABCDEFGHJKLMNOPQRSIWXYZ89abcdefghjklmnopqrsiwxyz.,-[]{¶"
     assert characters("naturals", "flats") == "IWXYZiwxyz"
+
+
+def test_accidentals_on_random_strings(spark):
+    import random
+
+    from neumatic.functions.alphabet import FLAT_OF_NOTE
+
+    def by_hand(text, omit):
+        on, out = set(), ""
+        for c in text:
+            if c in FLAT_OF_NOTE.values():
+                on.add(c)
+            elif c in "IYZWX":
+                on.discard(c.lower())
+            elif c in "3456":
+                on.clear()
+                out += c
+            elif FLAT_OF_NOTE.get(c) in on:
+                out += FLAT_OF_NOTE[c] + ("" if omit else c)
+            else:
+                out += c
+        return out
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ijbyqzewmxIYZWXJB3456-ac\n", k=rng.randint(0, 60))) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for omit in (True, False):
+        got = [r[0] for r in rows.select(neume.expand_accidentals(F.col("t"), omit)).collect()]
+        assert got == [by_hand(t, omit) for t in texts]

@@ -105,6 +105,77 @@ def test_dataset_and_experiment(spark, chants, tmp_path):
     assert lines.count() == test.count()
 
 
+def test_embedding_grid(spark, chants, tmp_path):
+    rows = chants.where("volpiano is not null").select("id", (F.col("id") % 8).cast("string").alias("mode"), F.split(F.regexp_replace(F.substring("volpiano", 1, 300), "-+", " "), " ").alias("units"))
+    base, own = str(tmp_path), "genre=responsory/subset=full"
+    rows.select(F.concat(F.lit("chant_"), "id").alias("id"), (F.col("mode") + 1).cast("int").cast("string").alias("mode"), F.lit("test").alias("split")).write.partitionBy("split").parquet(f"{base}/chants/{own}")
+    rows.select(F.concat(F.lit("chant_"), "id").alias("id"), "units", F.lit("test").alias("split"), F.lit("pitch").alias("representation"), F.lit("words").alias("segmentation")).write.partitionBy("split", "representation", "segmentation").parquet(f"{base}/representations/{own}")
+    chosen = {"genres": ["responsory"], "subsets": ["full"], "representations": ["pitch"], "segmentations": ["words"], "splits": ["test"]}
+    paths = experiment.run_embeddings(spark, base, f"{base}/results", embedders=["svd"], rows=40, **chosen)
+    found = spark.read.option("header", True).csv(paths[0])
+    assert set(found.columns) == {"id", "x", "y", "mode"} and found.count() == 40
+    experiment.run_embeddings(spark, base, f"{base}/results", embedders=["svd"], rows=7, **chosen)
+    assert spark.read.option("header", True).csv(paths[0]).count() == 40  # it stays
+    experiment.run_embeddings(spark, base, f"{base}/results", embedders=["svd"], rows=7, refresh=True, **chosen)
+    assert spark.read.option("header", True).csv(paths[0]).count() == 7
+
+
+def labelled(spark, n=80, width=5):
+    rng = np.random.default_rng(8)
+    y = rng.integers(0, 3, n)
+    x = rng.normal(0, 1, (n, width)) + 1.2 * np.eye(width)[y]
+    df = spark.createDataFrame([(i, float(c), v.tolist()) for i, (c, v) in enumerate(zip(y, x))], "id long, label double, v array<double>")
+    return x, y, df.select("id", "label", array_to_vector("v").alias("features"))
+
+
+def test_projections_equal_numpy(spark):
+    x, _, df = labelled(spark)
+    for found, matrix, z in ((embed.pca(df), x - x.mean(0), ("x", "y")), (embed.svd(df).select("id", F.get("v", F.lit(0)).alias("x"), F.get("v", F.lit(1)).alias("y")), x, ("x", "y"))):
+        got = np.array([[r[c] for c in z] for r in found.orderBy("id").collect()])
+        expected = matrix @ np.linalg.svd(matrix, full_matrices=False)[2][:2].T
+        assert np.allclose(np.abs(got), np.abs(expected), atol=1e-6)
+
+
+def test_squared_margin_finds_the_minimum(spark):
+    x, y, df = labelled(spark)
+    model = models.SquaredMargin(C=0.1, steps=150).fit(df)
+    ones, signs = np.column_stack([x, np.ones(len(x))]), np.where(np.arange(3)[:, None] == y[None], 1.0, -1.0)
+
+    def risk(w):
+        return 0.5 * (w * w).sum() + 0.1 * (np.maximum(0, 1 - signs * (w @ ones.T)) ** 2).sum()
+
+    w = np.zeros_like(model.w)
+    for _ in range(20_000):
+        w -= 0.01 * (w - 0.2 * (signs * np.maximum(0, 1 - signs * (w @ ones.T))) @ ones)
+    assert risk(model.w) < 1.001 * risk(w)
+
+
+def test_models_come_back(spark, tmp_path):
+    _, _, df = labelled(spark)
+    for kind, (make, _) in models.CLASSIFIERS.items():
+        model = {"random_forest": lambda: make(n_estimators=4, max_depth=3), "knn": lambda: make(4, "distance"), "linear_svc": lambda: make(steps=5), "hinge_svc": lambda: make(iterations=3)}[kind]().fit(df)
+        models.save(model, str(tmp_path / kind), spark)
+        again = models.load(str(tmp_path / kind), spark)
+        assert type(again) is make and sorted(map(tuple, again.predict(df).collect())) == sorted(map(tuple, model.predict(df).collect()))
+
+
+def test_tuning_scores_equal_brute_force(spark):
+    x, y, df = labelled(spark, 40)
+    folded = split.stratified_folds(df, "label", 2).cache()
+    fold = {r.id: r.fold for r in folded.collect()}
+    for row in models.tune(folded, "knn", 2, space={"n_neighbors": [3, 5], "weights": ["uniform"]}):
+        k, scores = row["params"]["n_neighbors"], []
+        for f in (0, 1):
+            known = [i for i in range(40) if fold[i] != f]
+            right = 0
+            for i in (i for i in range(40) if fold[i] == f):
+                near = sorted(known, key=lambda j: (((x[i] - x[j]) ** 2).sum(), j))[:k]
+                votes = [y[j] for j in near]
+                right += min(set(votes), key=lambda c: (-votes.count(c), c)) == y[i]
+            scores.append(right / (40 - len(known)))
+        assert abs(row["mean_test_accuracy"] - np.mean(scores)) < 1e-9
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("b", 'say "x",\nthen'), ("a", None)], "id string, volpiano string")
     tables.write_csv(df, str(tmp_path / "c.csv"))
