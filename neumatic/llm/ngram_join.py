@@ -52,9 +52,8 @@ FREQUENT_MOST = 200_000
 LOCAL_SHARE = 1 / 1500
 #: (set size from which the scheme holds, classes of frequent shingles; 0: single tokens only).
 SCHEMES = ((0, 0), (128, 32), (1024, 256))
-#: Rounds of pivots, and pivots that a group of near copies has in each (by the signature's hash).
-ROUNDS = 2
-PIVOTS = 8
+#: Pivots that a group of near copies has in each round (by the signature's hash); close groups need few, loose ones more.
+PIVOTS = (8, 64, 64)
 #: Parity bits that travel with signatures; sets have four bits a token at least, as a power of two.
 FOLDED = 256
 #: Characters of texts that are held as words at once.
@@ -319,7 +318,7 @@ def mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 def pivoted(rows: DataFrame, number: int, percent: int) -> DataFrame:
     """Pairs (a, b) of the pivot of a signature's sets, new in each round, and one in another component."""
-    rank = F.xxhash64(F.lit(number), F.pmod("sig", F.lit(PIVOTS)), "k").alias("rank")
+    rank = F.xxhash64(F.lit(number), F.pmod("sig", F.lit(PIVOTS[number])), "k").alias("rank")
     own = ("k", "n", "at", "label", *FOLDS)
     pivots = rows.groupBy("sig").agg(F.min(F.struct(rank, *own)).alias("p")).select("sig", *(F.col(f"p.{c}").alias(c) for c in own))
     both = pivots.alias("x").join(rows.alias("y"), F.expr(f"x.sig = y.sig and x.label <> y.label and {plausible(percent)}"))
@@ -327,14 +326,18 @@ def pivoted(rows: DataFrame, number: int, percent: int) -> DataFrame:
 
 
 def crossing(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of sets that share a signature and are in different components."""
-    sides = rows.select("sig", "label").distinct()
-    crossed = sides.join(sides.select("sig", F.col("label").alias("other")), "sig").where("label < other")
-    x = crossed.join(rows, ["sig", "label"])
-    both = x.alias("x").join(rows.alias("y"), F.expr(f"x.sig = y.sig and x.other = y.label and {plausible(percent)}"))
-    both = both.select(F.col("x.k").alias("a"), F.col("y.k").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("n"), F.col("x.at").alias("at_a"), F.col("y.at").alias("at_b"))
+    """Pairs (a, b) of sets that share a signature and are in different components.
+
+    Of each signature only the sets outside its largest component meet all its sets.
+    """
+    sizes = rows.groupBy("sig", "label").agg(F.count("*").alias("size"))
+    largest = sizes.groupBy("sig").agg(F.max(F.struct("size", "label")).alias("l")).select("sig", F.col("l.label").alias("main"))
+    marked = rows.join(largest, "sig").withColumn("outside", F.col("label") != F.col("main")).drop("main")
+    both = marked.alias("x").join(marked.where("outside").alias("y"), F.expr(f"x.sig = y.sig and x.label <> y.label and (not x.outside or x.k < y.k) and {plausible(percent)}"))
+    ahead = "x.k < y.k"
+    both = both.selectExpr("least(x.k, y.k) as a", "greatest(x.k, y.k) as b", *(f"if({ahead}, x.{c}, y.{c}) as {c}_a" for c in ("n", "at")), *(f"if({ahead}, y.{c}, x.{c}) as {c}_b" for c in ("n", "at")))
     # all signatures that a pair shares are counted here: those of different components are mixed, and what one position rules out can go
-    once = both.groupBy("a", "b").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.count_if((F.col("at_a") >= 0) & (F.col("at_b") >= 0)).alias("c"), F.max("at_a").alias("i"), F.max("at_b").alias("j"))
+    once = both.groupBy("a", "b").agg(F.first("n_a").alias("m"), F.first("n_b").alias("n"), F.count_if((F.col("at_a") >= 0) & (F.col("at_b") >= 0)).alias("c"), F.max("at_a").alias("i"), F.max("at_b").alias("j"))
     return once.where(f"c = 0 or {100 + percent} * (c + least(m - 1 - i, n - 1 - j)) >= {percent} * (n + m)").select("a", "b")
 
 
@@ -362,12 +365,12 @@ def linked_sets(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     release(spark)
 
     links = None
-    for number in range(ROUNDS + 1):
-        pairs = pivoted(groups, number, percent) if number < ROUNDS else crossing(groups, percent)
+    for number in range(len(PIVOTS) + 1):
+        pairs = pivoted(groups, number, percent) if number < len(PIVOTS) else crossing(groups, percent)
         more = links_of(pairs, docs, nodes, width, percent)
         links = more if links is None else links.unionByName(more)
         labels = written(components(links), "labels")
-        if number < ROUNDS:
+        if number < len(PIVOTS):
             old, groups = groups, mixed(groups, labels)
             discard(old, labels)
             release(spark)
