@@ -58,12 +58,20 @@ def pitch_class_profile(coded: Column) -> dict[str, Column]:
     return {f"freq_pitch_class_{c}": F.try_divide(counts[c], F.length(coded)) for c in range(12)}
 
 
-def repetition_profile(coded: Column) -> dict[str, Column]:
-    """Share of neighbouring notes that repeat each pitch; null for one note or none."""
-    again = F.regexp_replace(coded, r"(.)(?!\1)", "")  # keeps a note that the same one follows
+def repeated(coded: Column) -> Column:
+    """The notes that the same one follows."""
+    return F.regexp_replace(coded, r"(.)(?!\1)", "")
+
+
+def repetition_profile(coded: Column, again: Column | None = None) -> dict[str, Column]:
+    """Share of neighbouring notes that repeat each pitch; null for one note or none.
+
+    ``again`` is ``repeated(coded)`` where the caller has it in a column of its own.
+    """
+    again = repeated(coded) if again is None else again
     return {f"repetition_score_MIDI_{p}": F.try_divide(_count(again, p), F.length(coded) - 1) for p in PITCH_RANGE}
 
 
-def all_features(notes: Column, coded: Column) -> dict[str, Column]:
+def all_features(notes: Column, coded: Column, again: Column | None = None) -> dict[str, Column]:
     """All 88 columns."""
-    return classical(notes) | gesture(notes) | pitch_profile(coded) | pitch_class_profile(coded) | repetition_profile(coded)
+    return classical(notes) | gesture(notes) | pitch_profile(coded) | pitch_class_profile(coded) | repetition_profile(coded, again)

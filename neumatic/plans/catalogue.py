@@ -297,7 +297,8 @@ def _(spark, sf_dir):
 
 @query("repetition_profile", f"{WITH_PITCH}, r AS (SELECT id, pitch, lag(pitch) OVER (PARTITION BY id ORDER BY pos) AS before FROM pitch) SELECT id, " + ", ".join(f"round(count(*) FILTER (WHERE pitch = {p} AND before = {p}) / CAST(nullif(count(*) - 1, 0) AS DOUBLE), 6) AS repetition_score_MIDI_{p}" for p in features.PITCH_RANGE) + " FROM r GROUP BY id")
 def _(spark, sf_dir):
-    return coded(spark, sf_dir).select("id", *(six(c).alias(n) for n, c in features.repetition_profile(F.col("coded")).items()))
+    df = coded(spark, sf_dir).select("id", "coded", once(features.repeated(F.col("coded"))).alias("again"))
+    return df.select("id", *(six(c).alias(n) for n, c in features.repetition_profile(F.col("coded"), F.col("again")).items()))
 
 
 _FEATURES = [f"arg_min(pitch, pos) AS initial, arg_max(pitch, pos) AS final, min(pitch) AS lowest, max(pitch) AS highest, max(pitch) - min(pitch) AS ambitus"]
@@ -388,7 +389,7 @@ def _(spark, sf_dir):
 
 @query("head_slice", f"{WITH_M} SELECT id, mode FROM m ORDER BY id LIMIT 100")
 def _(spark, sf_dir):
-    return split.head(melodies(spark, sf_dir).select("id", "mode"), 100)
+    return split.head(melodies(spark, sf_dir, sung=False).select("id", "mode"), 100)
 
 
 for _name, _column, _where in (
@@ -405,8 +406,8 @@ for _name, _column, _where in (
     ("filter_has_notes", lambda: filters.has_melody() & filters.has_notes(), f"{_KEEP[0][1]} AND {_KEEP[1][1]}"),
 ):
     @query(_name, f"{WITH_M} SELECT id, mode, genre_id FROM m WHERE {_where}")
-    def _(spark, sf_dir, column=_column):
-        return melodies(spark, sf_dir).where(column()).select("id", "mode", "genre_id")
+    def _(spark, sf_dir, column=_column, sung="volpiano" in _where):
+        return melodies(spark, sf_dir, sung).where(column()).select("id", "mode", "genre_id")
 
 
 @query("dedup_notes", f"{WITH_M} SELECT min(id) AS id FROM m WHERE volpiano IS NOT NULL GROUP BY {sql_strip('volpiano', neume.KEPT)}")
@@ -416,17 +417,17 @@ def _(spark, sf_dir):
 
 @query("sample_per_mode_cantus", f"{WITH_M} SELECT cantus_id, mode, id FROM (SELECT *, row_number() OVER (PARTITION BY cantus_id, mode ORDER BY md5('0|' || id), id) AS r FROM m WHERE cantus_id IS NOT NULL) WHERE r = 1")
 def _(spark, sf_dir):
-    return filters.one_per_mode_and_family(melodies(spark, sf_dir)).select("cantus_id", "mode", "id")
+    return filters.one_per_mode_and_family(melodies(spark, sf_dir, sung=False)).select("cantus_id", "mode", "id")
 
 
 @query("train_test_split", f"{WITH_M} SELECT id, row_number() OVER (ORDER BY md5('0|' || id)) <= round_even(0.7 * count(*) OVER (), 0) AS is_train FROM m")
 def _(spark, sf_dir):
-    return split.exact_sample(melodies(spark, sf_dir).select("id"), 0.7).select("id", "is_train")
+    return split.exact_sample(melodies(spark, sf_dir, sung=False).select("id"), 0.7).select("id", "is_train")
 
 
 @query("stratified_folds", f"{WITH_M} SELECT id, genre_id, CAST((row_number() OVER (PARTITION BY genre_id ORDER BY md5('0|' || id), id) - 1) % 5 AS INTEGER) AS fold FROM m")
 def _(spark, sf_dir):
-    return split.stratified_folds(melodies(spark, sf_dir).select("id", "genre_id"), "genre_id", 5).select("id", "genre_id", "fold")
+    return split.stratified_folds(melodies(spark, sf_dir, sung=False).select("id", "genre_id"), "genre_id", 5).select("id", "genre_id", "fold")
 
 
 # ---- tf-idf ----
@@ -639,12 +640,12 @@ def _(spark, sf_dir):
 
 @query("top_families", f"{WITH_M} SELECT cantus_id, count(*) AS n FROM m WHERE cantus_id IS NOT NULL GROUP BY cantus_id ORDER BY n DESC, cantus_id LIMIT 5")
 def _(spark, sf_dir):
-    return analysis.most_frequent(melodies(spark, sf_dir), "cantus_id", 5)
+    return analysis.most_frequent(melodies(spark, sf_dir, sung=False), "cantus_id", 5)
 
 
 @query("family_members", f"{WITH_M}, t AS (SELECT cantus_id FROM m WHERE cantus_id IS NOT NULL GROUP BY cantus_id ORDER BY count(*) DESC, cantus_id LIMIT 5) SELECT id, cantus_id IN (SELECT cantus_id FROM t) AS in_top FROM m WHERE cantus_id IS NOT NULL")
 def _(spark, sf_dir):
-    rows = melodies(spark, sf_dir).where("cantus_id is not null").select("id", "cantus_id")
+    rows = melodies(spark, sf_dir, sung=False).where("cantus_id is not null").select("id", "cantus_id")
     top = analysis.most_frequent(rows, "cantus_id", 5).select("cantus_id")
     inside = rows.join(F.broadcast(top), "cantus_id", "left_semi").select("id", F.lit(True).alias("in_top"))
     return inside.unionByName(rows.join(F.broadcast(top), "cantus_id", "left_anti").select("id", F.lit(False).alias("in_top")))
@@ -652,7 +653,7 @@ def _(spark, sf_dir):
 
 @query("value_counts_by_mode", f"{WITH_M} SELECT mode, genre_id, count(*) AS n, count(DISTINCT cantus_id) AS families FROM m GROUP BY mode, genre_id")
 def _(spark, sf_dir):
-    return melodies(spark, sf_dir).groupBy("mode", "genre_id").agg(F.count("*").alias("n"), F.countDistinct("cantus_id").alias("families"))
+    return melodies(spark, sf_dir, sung=False).groupBy("mode", "genre_id").agg(F.count("*").alias("n"), F.countDistinct("cantus_id").alias("families"))
 
 
 @query("note_names", f"{WITH_PITCH} SELECT pitch, substr('C C#D EbE F F#G AbA BbB ', CAST(pitch % 12 AS INTEGER) * 2 + 1, 2) AS name, count(*) AS n FROM pitch GROUP BY ALL")
@@ -698,7 +699,7 @@ def _(spark, sf_dir):
 @query("dataset_parquet", f"{WITH_M} SELECT id, mode FROM m WHERE genre_id = 'en' AND cantus_id = 'src0'")
 def _(spark, sf_dir):
     path = tables.scratch(spark, "dataset")
-    tables.write_dataset(melodies(spark, sf_dir).select("id", "mode", "incipit", "genre_id", "cantus_id"), path, ("genre_id", "cantus_id"))
+    tables.write_dataset(melodies(spark, sf_dir, sung=False).select("id", "mode", "incipit", "genre_id", "cantus_id"), path, ("genre_id", "cantus_id"))
     return tables.read_dataset(spark, path, ["mode"], genre_id="en", cantus_id="src0")
 
 

@@ -54,9 +54,11 @@ def representations_table(units: DataFrame) -> DataFrame:
 
 def features_table(melodies: DataFrame) -> DataFrame:
     """All 88 feature columns, from (id, processed)."""
-    coded = melodies.select("id", represent.pitch_string(neume.notes_only(F.col("processed"))).alias("coded"))
-    notes = coded.select("id", "coded", F.transform(F.filter(F.split("coded", ""), lambda c: c != ""), F.ascii).alias("notes"))
-    return notes.select("id", *(c.alias(n) for n, c in features.all_features(F.col("notes"), F.col("coded")).items()))
+    # generators keep the optimizer from copying the expressions into each of the columns
+    coded = melodies.select("id", F.explode(F.array(represent.pitch_string(neume.notes_only(F.col("processed"))))).alias("coded"))
+    coded = coded.select("id", "coded", F.explode(F.array(features.repeated(F.col("coded")))).alias("again"))
+    notes = coded.select("id", "coded", "again", F.explode(F.array(F.transform(F.filter(F.split("coded", ""), lambda c: c != ""), F.ascii))).alias("notes"))
+    return notes.select("id", *(c.alias(n) for n, c in features.all_features(F.col("notes"), F.col("coded"), F.col("again")).items()))
 
 
 def generate(chants: DataFrame, genre_id: str, one_per_family: bool, seed: int) -> DataFrame:

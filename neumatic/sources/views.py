@@ -26,11 +26,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def melodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts as melodies: letters are notes, t u v are flat, note and natural, spaces are word boundaries."""
+def melodies(spark: SparkSession, sf_dir: str, sung: bool = True) -> DataFrame:
+    """Whole texts as melodies: letters are notes, t u v are flat, note and natural, spaces are word boundaries.
+
+    Without ``sung`` there is no melody column, and none is derived.
+    """
     docs = table(spark, sf_dir, "documents")
-    v = F.concat(F.lit("1---"), F.regexp_replace(F.regexp_replace(F.translate(F.lower("text"), "tuv.,", "ijI43"), r"[ \n\t\r]+", "---"), "([aeo])", "$1-"))
-    n = F.col("doc_id")
+    if not sung:
+        return described(docs.withColumn("v", F.lit(None).cast("string"))).drop("volpiano")
+    # from a generator, so that the expression is not copied to every place that reads the melody
+    docs = docs.select("doc_id", "text", "lang", "source", F.explode(F.array(F.concat(F.lit("1---"), F.regexp_replace(F.regexp_replace(F.translate(F.lower("text"), "tuv.,", "ijI43"), r"[ \n\t\r]+", "---"), "([aeo])", "$1-")))).alias("v"))
+    return described(docs)
+
+
+def described(docs: DataFrame) -> DataFrame:
+    """Chant columns of (doc_id, text, lang, source, v)."""
+    n, v = F.col("doc_id"), F.col("v")
     mode = (1 + n % 8).cast("string")
     return docs.select(
         n.alias("id"),
