@@ -527,7 +527,7 @@ def test_warc_damaged_records():
 def test_long_text_and_clashing_columns(spark):
     """Every operator on a very long text, and on tables whose own columns have the names that the operators use."""
     rng = random.Random(31)
-    long = "\n".join(" ".join(rng.choices(VOCAB, k=20)) for _ in range(5000))
+    long = "\n".join(" ".join(rng.choices(VOCAB, k=20)) for _ in range(1500))
     names = "doc_id long, text string, s string, n long, k long, label string, removed string, component_id long, bits binary, score double, kept boolean, license string"
     rows = [(i, t, "s", 1, 2, "l", "r", 3, b"b", 0.5, True, "x") for i, t in enumerate((long, long + "\nend", prose(60), None, ""))]
     docs = spark.createDataFrame(rows, names)
@@ -537,6 +537,6 @@ def test_long_text_and_clashing_columns(spark):
     assert {r.doc_id for r in ngram_join.distinct(docs).collect()} == {0, 2, 3, 4}
     assert {r.doc_id for r in decontaminate.overlaps(docs, items).collect()} == {0, 1}
     out = line_dedup.dedup(docs)
-    assert out.columns == [*docs.columns, "n_lines", "n_removed"] and {r.doc_id: r.n_removed for r in out.collect()}[1] >= 5000
+    assert out.columns == [*docs.columns, "n_lines", "n_removed"] and {r.doc_id: r.n_removed for r in out.collect()}[1] >= 1500
     for frame in (license_scan.scan(docs), quality_pu.classify(docs, labels), quality_rules.assess(docs), quality_rules.keep(docs), katz.score(docs), packing.pack(docs)):
         assert frame.count() >= 1
