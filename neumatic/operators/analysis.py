@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 
 def majority(rows: DataFrame, groups: list[str], label: str) -> DataFrame:
-    """The most frequent label of each group and its share; ties to the smallest label."""
+    """The most frequent label of each group, its share, count (n) and the group's (total); ties to the smallest label."""
     counts = rows.groupBy(*groups, label).agg(F.count("*").alias("n"))
     best = counts.groupBy(*groups).agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("n"), F.col(label).alias("label"))).alias("b"))
-    return best.select(*groups, F.col("b.label").alias("majority"), (-F.col("b.n") / F.col("total")).alias("share"))
+    return best.select(*groups, F.col("b.label").alias("majority"), (-F.col("b.n") / F.col("total")).alias("share"), (-F.col("b.n")).alias("n"), "total")
 
 
 def statistics(rows: DataFrame, fine: list[str], coarse: list[str], value: str) -> DataFrame:
@@ -119,8 +119,13 @@ def score_cell(mean: str, deviation: str) -> Column:
     return F.format_string("$%.1f^{\\pm %.1f}$", F.col(mean), F.col(deviation))
 
 
-def percent_cell(share: Column | str) -> Column:
-    return F.format_string("%.2f%%", 100 * (F.col(share) if isinstance(share, str) else share))
+def percent_cell(part: Column | str, whole: Column | str) -> Column:
+    """``part`` of ``whole`` in percent with two decimals, rounded as C and Python print the double: exactly, ties to even.
+
+    ``format_string`` rounds ties up, and what Java prints of the double instead of its value.
+    """
+    part, whole = (F.col(c) if isinstance(c, str) else c for c in (part, whole))
+    return F.concat(F.call_function("format_number", (100 * part / whole).cast("double"), F.lit("0.00")), F.lit("%"))
 
 
 def param_string(params: Column) -> Column:

@@ -69,6 +69,20 @@ def test_scores(spark):
     assert analysis.majority(pairs.withColumn("g", F.lit(1)), ["g"], "y").first().majority == 0
 
 
+def test_percent_cell_rounds_as_printf(spark):
+    counts = [(n, total) for total in (1, 3, 7, 32, 64, 200, 800, 1600, 2000, 4000, 32000) for n in range(0, total + 1, max(1, total // 500))]
+    got = spark.createDataFrame(counts, "n long, total long").select("n", "total", analysis.percent_cell("n", "total").alias("cell")).collect()
+    assert [(r.n, r.total, r.cell) for r in got] == [(n, total, f"{100 * n / total:.2f}%") for n, total in counts]
+
+
+def test_majority_percent_equals_sql(spark):
+    sf_dir = SF.replace("sf0.001", "sf0.01")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{sf_dir}/customer.parquet'")
+    got = [tuple(r) for r in catalogue.queries()["majority_percent"](spark, sf_dir).collect()]
+    assert sorted(got) == sorted(con.execute(catalogue.oracle_sql()["majority_percent"]).fetchall())
+
+
 def test_embeddings_and_models(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 1, (30, 4)), rng.normal(5, 1, (30, 4))])
