@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import os
 import random
+import re
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -258,6 +259,12 @@ def test_line_dedup(spark, docs):
     assert out.columns == [*docs.columns, "n_lines", "n_removed"]
 
 
+def test_line_dedup_words(spark):
+    lines = ["a  b c", " a b ", "a\tb", "a\x0bb \fc\r", "\r", " ", "", "a\u00a0b c", "a.b|c d"]
+    got = spark.createDataFrame(list(enumerate(lines)), "i int, line string").select("i", line_dedup.words(F.col("line")).alias("w")).collect()
+    assert [r.w for r in sorted(got)] == [[w for w in re.split("[ \t\x0b\f\r]+", x) if w] for x in lines]
+
+
 def test_line_dedup_short_lines(spark):
     rng, rows = random.Random(14), []
     pool = ["all rights reserved.", "x", "日本語テスト", "no no no no no no no", "a b", "b a", "k l m n", "k l m n o", "k l m q", "p q r", "p q s", ""]
