@@ -283,6 +283,30 @@ def test_line_dedup_short_lines(spark):
     assert {r.doc_id: r.text for r in out.collect()} == expected
 
 
+def test_line_dedup_counts_a_share(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARE_FROM", 0, raising=False)
+    rows = [(i, " ".join([f"own{i}"] * 4), "x", 1, 1) for i in range(400)]
+    levels = line_dedup.rarity(spark.createDataFrame(rows, DOCS).repartition(3), 12).first().levels
+    assert len(levels) == 1 << 12 and 20 < sum(x > 0 for x in levels) < 90  # all 400 documents were counted before
+    rng, rows = random.Random(21), []
+    pool = [prose(rng.randint(4, 60)) for _ in range(10)]
+    for i in range(60):
+        line = rng.choice(pool).split()
+        for at in rng.sample(range(len(line)), rng.randint(0, 1 + len(line) // 8)):
+            line[at] = rng.choice(VOCAB)
+        rows.append((i, " ".join(line + rng.choices(VOCAB, k=rng.randint(0, len(line) // 6))), "x", 1, 1))
+    sets = [set(r[1].split()) for r in rows]
+    gone = {i for i, b in enumerate(sets) if any(9 * len(a & b) >= 4 * (len(a) + len(b)) for a in sets[:i])}
+    out = line_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(3)).where("n_removed > 0").collect()
+    assert {r.doc_id for r in out} == gone and len(gone) > 10
+
+
+def test_line_dedup_one_position(spark):
+    rows = [(1, "a b c d e\nz", "x", 1, 1), (1, "a b c d e f\nz", "x", 1, 1), (2, "y\na b c d e f", "x", 1, 1)]
+    out = line_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [(1, "a b c d e\nz"), (1, "a b c d e f\nz"), (2, "y")]
+
+
 @pytest.mark.parametrize("order", [2, 3])
 def test_katz_sums_to_one(spark, docs, order):
     rows = katz.score(docs, order=order, block_tokens=300, part_tokens=500).collect()
