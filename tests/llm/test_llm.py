@@ -301,6 +301,25 @@ def test_line_dedup_counts_a_share(spark, monkeypatch):
     assert {r.doc_id for r in out} == gone and len(gone) > 10
 
 
+def test_line_dedup_sets_meet_by_size(spark):
+    own = random.Random(9)
+    sets = [sorted({0, *own.sample(range(1, 400), own.randint(3, 90))}) for _ in range(150)]
+    for s in sets[:60]:
+        near = set(s) ^ set(own.sample(range(1, 400), max(1, len(s) // 7)))
+        sets.append(sorted(near))
+    rows = [(i, len(s), 0, 0, s[: len(s) - (4 * len(s) + 4) // 5 + 1]) for i, s in enumerate(sets) if len(s) >= 4]
+    nodes = spark.createDataFrame(rows, "s long, n int, b1 long, b2 long, prefix array<int>")
+    small, large = line_dedup.by_class(nodes)
+    met = small.alias("x").join(large.alias("y"), ["token", "size"]).selectExpr("x.s a", "y.s b", "x.n n", "y.n m").collect()
+    similar = {(a, b) for (a, n, *_), (b, m, *_) in combinations(rows, 2) if 9 * len(set(sets[a]) & set(sets[b])) >= 4 * (n + m)}
+    found = {(r.a, r.b) for r in met if r.n <= r.m}
+    assert similar and all(p in found or p[::-1] in found for p in similar)
+    # by words alone, the sets that share one would all be read, whatever their sizes are
+    by_words = sum(n * n for n in Counter(w for *_, prefix in rows for w in prefix).values())
+    assert len(met) < by_words / 2
+    assert all(r.m < 1.5 * 1.25 * r.n and r.n < 1.5 * r.m for r in met)
+
+
 def test_line_dedup_one_position(spark):
     rows = [(1, "a b c d e\nz", "x", 1, 1), (1, "a b c d e f\nz", "x", 1, 1), (2, "y\na b c d e f", "x", 1, 1)]
     out = line_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(2)).collect()
