@@ -13,9 +13,46 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 50_000
 #: Distances held at once by a task.
 CELLS = 4_000_000
+#: Candidates of a query beyond which its distances are all computed at once.
+CANDIDATES = 4_000
+#: Partitions for each pair of blocks.
+SPREAD = 4
 FOUND = "query long, train long, label int, distance double"
 
 
+def nearest(vectors: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of vectors, distance) of the k nearest of each row of q, in order; ties to the smaller row.
+
+    Matrix products bound the squared distances to within rounding; those that
+    may be among the k are computed from the differences.
+    """
+    k = min(k, len(vectors))
+    norms = (vectors * vectors).sum(1)
+    step, out = max(1, CELLS // len(vectors)), []
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        own = (part * part).sum(1)
+        near = part @ (-2 * vectors.T)
+        near += norms
+        near += own[:, None]
+        bound = np.partition(near, k - 1, axis=1)[:, k - 1] + 1e-10 * (own + norms.max())
+        near = near <= bound[:, None]
+        many = ~np.isfinite(bound) | (near.sum(1) > CANDIDATES)
+        near[many] = False
+        row, col = np.nonzero(near)
+        d = np.sqrt(((part[row] - vectors[col]) ** 2).sum(1))
+        order = np.lexsort((col, d, row))
+        row, col, d = row[order], col[order], d[order]
+        first = np.searchsorted(row, row)
+        keep = np.arange(len(row)) - first < k
+        out.append((at + row[keep], col[keep], d[keep]))
+        for i in np.nonzero(many)[0]:
+            all_ = np.sqrt(((part[i] - vectors) ** 2).sum(1))
+            best = np.argsort(all_, kind="stable")[:k]
+            out.append((np.full(k, at + i), best, all_[best]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def neighbours(train: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", label: str = "label", vector: str = "embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query, train, label, distance): the k nearest training rows of each query, ties by training key.
 
@@ -37,15 +74,12 @@ def neighbours(train: DataFrame, queries: DataFrame, k: int, key: str = "vec_id"
         known = known.sort_values(key, kind="stable")
         ids, labels, vectors = known[key].to_numpy(np.int64), known[label].to_numpy(np.int32), np.array(known[vector].tolist(), float)
         own, q = asked[key].to_numpy(np.int64), np.array(asked[vector].tolist(), float)
-        step, out = max(1, CELLS // max(1, vectors.size)), []
-        for at in range(0, len(q), step):
-            d = np.sqrt(((q[at : at + step, None, :] - vectors[None]) ** 2).sum(-1))
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            out.append(pd.DataFrame({"query": np.repeat(own[at : at + step], best.shape[1]), "train": ids[best].ravel(), "label": labels[best].ravel(), "distance": np.take_along_axis(d, best, 1).ravel()}))
-        return pd.concat(out)
-
-    left = dealt(train, "t", blocks, "q", sides, key, label, vector).groupBy("t", "q")
-    right = dealt(queries, "q", sides, "t", blocks, key, vector).groupBy("t", "q")
+        row, best, d = nearest(vectors, q, k)
+        return pd.DataFrame({"query": own[row], "train": ids[best], "label": labels[best], "distance": d})
+
+    # a number of partitions given is kept, so that few pairs of blocks share a task
+    left = dealt(train, "t", blocks, "q", sides, key, label, vector).repartition(SPREAD * blocks * sides, "t", "q").groupBy("t", "q")
+    right = dealt(queries, "q", sides, "t", blocks, key, vector).repartition(SPREAD * blocks * sides, "t", "q").groupBy("t", "q")
     found = left.cogroup(right).applyInPandas(search, FOUND)
     rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "train"))
     return found.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")

@@ -52,6 +52,15 @@ def test_tfidf_unit_norm(spark):
     assert len(norms) == 2 and all(abs(r.n - 1) < 1e-9 for r in norms)
 
 
+def test_nearest_equals_all_differences():
+    own = np.random.default_rng(3)
+    for v, q, k in ((own.normal(size=(300, 16)), own.normal(size=(40, 16)), 5), (own.integers(0, 2, (400, 5)) * 1e5, own.integers(0, 2, (30, 5)) * 1e5, 7), (np.ones((knn.CANDIDATES + 9, 2)), np.ones((3, 2)), 4), (own.normal(size=(3, 2)), own.normal(size=(4, 2)), 9)):
+        d = np.sqrt(((q[:, None, :] - v[None]) ** 2).sum(-1))
+        best = np.argsort(d, axis=1, kind="stable")[:, :k]
+        expected = [(i, j, d[i, j]) for i in range(len(q)) for j in best[i]]
+        assert sorted(zip(*knn.nearest(v, q, k)), key=lambda r: r[0]) == expected
+
+
 def test_knn_blocks_agree(spark):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(i, rng.normal(size=3).tolist(), i % 3) for i in range(60)], "vec_id long, embedding array<double>, label int")
