@@ -17,9 +17,11 @@ def accuracy(pairs: DataFrame, truth: str = "y", predicted: str = "p") -> DataFr
 def by_class(pairs: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:
     """(label, precision, recall, f1, support); an undefined precision, recall or f1 is 0."""
     cells = confusion(pairs, truth, predicted)
-    true = cells.groupBy(F.col("y").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)).alias("hits"))
-    said = cells.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("said"))
-    both = true.join(said, "label", "full").fillna(0, ["support", "hits", "said"])
+    own = F.struct(F.col("y").alias("label"), F.lit("y").alias("side"), F.col("n").alias("support"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("hits"), F.lit(0).cast("long").alias("said"))
+    other = F.struct(F.col("p").alias("label"), F.lit("p").alias("side"), F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("hits"), F.col("n").alias("said"))
+    # from one row of cells, so that the predictions behind them are made once; a null is no label that both sides share
+    both = cells.select(F.explode(F.array(own, other)).alias("c")).select("c.*").groupBy("label", F.when(F.col("label").isNull(), F.col("side")).alias("side"))
+    both = both.agg(*(F.sum(c).alias(c) for c in ("support", "hits", "said")))
     precision = F.coalesce(F.try_divide(F.col("hits"), F.col("said")), F.lit(0.0))
     recall = F.coalesce(F.try_divide(F.col("hits"), F.col("support")), F.lit(0.0))
     scored = both.select("label", precision.alias("precision"), recall.alias("recall"), "support")

@@ -61,6 +61,14 @@ def test_nearest_equals_all_differences():
         assert sorted(zip(*knn.nearest(v, q, k)), key=lambda r: r[0]) == expected
 
 
+def test_scores_read_predictions_once(spark):
+    pairs = spark.range(40).selectExpr("id % 3 as y", "id % 4 as p").mapInPandas(lambda frames: frames, "y long, p long")
+    rows = metrics.by_class(pairs)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    none = spark.createDataFrame([(None, 1), (1, None), (1, 1)], "y int, p int")
+    assert sorted(map(str, metrics.by_class(none).collect())) == sorted(["Row(label=None, precision=0.0, recall=0.0, f1=0.0, support=0)", "Row(label=None, precision=0.0, recall=0.0, f1=0.0, support=1)", "Row(label=1, precision=0.5, recall=0.5, f1=0.5, support=2)"])
+
+
 def test_knn_blocks_agree(spark):
     rng = np.random.default_rng(0)
     df = spark.createDataFrame([(i, rng.normal(size=3).tolist(), i % 3) for i in range(60)], "vec_id long, embedding array<double>, label int")
