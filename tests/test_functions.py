@@ -106,6 +106,35 @@ def test_poisson(spark):
     assert not [r for r in rows if r.id == 9]
 
 
+def test_poisson_is_cut_inside_the_row(spark):
+    text = "".join(chr(97 + i % 20) for i in range(3000))
+    df = spark.createDataFrame([(1, text), (2, "a"), (3, ""), (4, None), (5, "ab")], "id long, notes string")
+    for mean in (1, 3, 7):
+        found = segment.poisson(df, mean, seed=2)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Window" not in plan  # a row a note that holds the melody fills the disk
+        sizes = {(r.id, r.no): r.size for r in spark.range(1, 6).selectExpr("id", "explode(sequence(0, 2999)) no").select("id", "no", segment.poisson_size(F.col("id"), F.col("no"), mean, 2).alias("size")).collect()}
+        cdf = segment.poisson_cdf(mean - 1)
+        u = spark.range(1, 6).selectExpr("id", "explode(sequence(0, 2999)) no").select("id", "no", segment.uniform("id", "no", seed=2).alias("u"))
+        assert mean == 1 or all(sizes[r.id, r.no] == 1 + sum(x <= r.u for x in cdf) for r in u.collect())
+        expected = []
+        for i, notes in ((1, text), (2, "a"), (5, "ab")):
+            at = no = 0
+            while at < len(notes):
+                expected.append((i, no, notes[at : at + sizes[i, no]]))
+                at, no = at + sizes[i, no], no + 1
+        assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_copy_segmentation_of_long_texts(spark):
+    words = ["abcdefghij"[: 1 + i % 10] for i in range(400)] + ["x" * 700, "é" * 3]
+    rows = spark.createDataFrame([(" ".join(words), "".join(words).upper())], "s string, t string")
+    cut = rows.select(represent.copy_segmentation(F.col("s"), F.col("t")).alias("c"))
+    assert cut.first()[0] == " ".join(words).upper()
+    both = rows.select(represent.cutting(F.col("t"), lambda part: part(F.lit(250), F.lit(20))).alias("c"), F.substring("t", 251, 20).alias("d")).first()
+    assert both.c == both.d
+
+
 def test_alphabet():
     assert characters() == "3456712()ABCDEFGHJKLMNOPQRSIWXYZ89abcdefghjklmnopqrsiwxyz.,-[]{¶"
     assert characters("naturals", "flats") == "IWXYZiwxyz"
