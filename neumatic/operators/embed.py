@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows at most that t-SNE is fitted on; it is quadratic in them.
 TSNE_ROWS = 5000
+#: Matrices of so many columns at most are decomposed by the products of their columns.
+GRAM_WIDTH = 256
 #: Fitted rows that place each other row.
 NEIGHBOURS = 3
 
@@ -25,10 +27,33 @@ def pca(rows: DataFrame, k: int = 2) -> DataFrame:
     return out.select("id", F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))
 
 
+def right_vectors(rows: DataFrame, k: int) -> np.ndarray:
+    """The first k right singular vectors, fewer of a matrix of lower rank."""
+    first = rows.select(F.size(vector_to_array("features"))).first()
+    if first is None or first[0] > GRAM_WIDTH:
+        return RowMatrix(rows.select("features").rdd.map(lambda r: OldVectors.dense(r[0].toArray()))).computeSVD(k).V.toArray()
+    width = first[0]
+
+    def products(frames):
+        total = np.zeros((width, width))
+        for frame in frames:
+            x = np.array(frame["x"].tolist(), float).reshape(-1, width)
+            total += x.T @ x
+        yield pd.DataFrame({"g": [total.ravel().tolist()]})
+
+    parts = rows.select(vector_to_array("features").alias("x")).mapInPandas(products, "g array<double>")
+    # a row a cell, summed before the shuffle: the driver gets one matrix
+    sums = parts.select(F.posexplode("g").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).toPandas()
+    gram = np.zeros(width * width)
+    gram[sums["i"].to_numpy(int)] = sums["v"].to_numpy(float)
+    values, vectors = np.linalg.eigh(gram.reshape(width, width))
+    sigma = np.sqrt(np.maximum(values[::-1][:k], 0))
+    return vectors[:, ::-1][:, :k][:, sigma >= 1e-9 * sigma[0]]
+
+
 def svd(rows: DataFrame, k: int = 2) -> DataFrame:
     """(id, v): projections on the first k right singular vectors, without centring."""
-    matrix = RowMatrix(rows.select("features").rdd.map(lambda r: OldVectors.dense(r[0].toArray())))
-    basis = matrix.computeSVD(k).V.toArray()  # features x k
+    basis = right_vectors(rows, k)  # features x k
     shared = rows.sparkSession.sparkContext.broadcast(basis)
 
     def project(frames):

@@ -214,6 +214,15 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
 
 
+def test_singular_vectors_without_the_rows(spark):
+    x = np.random.default_rng(4).normal(size=(90, 5)) * [9, 4, 3, 2, 1]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>").select("id", array_to_vector("v").alias("features")).repartition(3)
+    found, expected = embed.right_vectors(df, 2), np.linalg.svd(x, full_matrices=False)[2][:2].T
+    assert np.allclose(np.abs((found * expected).sum(0)), 1)
+    flat = df.select("id", array_to_vector(F.array(F.col("id").cast("double") + 1, F.lit(0.0))).alias("features"))
+    assert embed.right_vectors(flat, 2).shape == (2, 1)
+
+
 ORACLES = ["process_volpiano", "contour_dependent", "repetition_profile", "filter_funnel", "train_test_split", "stratified_folds", "tfidf_vocab_topk", "classification_report", "dataset_statistics"]
 
 
