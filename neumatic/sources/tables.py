@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import logging
+import math
 import os
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+FILE_BYTES, MOST_FILES = 32 << 20, 10_000
 CHANT_COLUMNS = ("id", "incipit", "cantus_id", "mode", "finalis", "siglum", "position", "folio", "sequence", "marginalia", "cao_concordances", "feast_id", "genre_id", "office_id", "source_id", "melody_id", "drupal_path", "full_text", "full_text_manuscript", "volpiano", "notes")
 CHANTS = T.StructType([T.StructField(c, T.StringType()) for c in CHANT_COLUMNS])
 
@@ -35,8 +37,10 @@ def read_chants(spark: SparkSession, path: str, schema: T.StructType | None = No
 
 
 def write_csv(df: DataFrame, path: str, key: str = "id") -> str:
-    """One CSV file sorted by key, and the checksum of its rows."""
-    df.orderBy(key).coalesce(1).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    """CSV sorted by key, in files of FILE_BYTES of input or less and in their order, and the checksum of its rows."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # as Spark estimates it
+    files = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(size / FILE_BYTES))
+    df.repartitionByRange(min(files, MOST_FILES), key).sortWithinPartitions(key).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
     return checksum(df)
 
 
@@ -68,7 +72,7 @@ def read_dataset(spark: SparkSession, path: str, columns: list[str], **where: st
 
 def write_predictions(pairs: DataFrame, path: str) -> None:
     """Predicted labels as text lines in key order, and keyed as Parquet beside them."""
-    pairs.orderBy("id").select(F.col("p").cast("int").cast("string").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    pairs.orderBy("id").select(F.col("p").cast("int").cast("string").alias("value")).write.mode("overwrite").text(path)
     pairs.write.mode("overwrite").parquet(path.rstrip("/") + ".parquet")
 
 

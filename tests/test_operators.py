@@ -214,6 +214,23 @@ def test_csv_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
 
 
+def test_csv_is_written_by_more_than_one_task(spark, tmp_path):
+    """In order of its key, file by file."""
+    df = spark.range(4000).selectExpr("lpad(cast(id * 7919 % 4000 as string), 5, '0') as id", "repeat('a-b', 90) as volpiano").repartition(6)
+    tables.write_csv(df, str(tmp_path / "c.csv"))
+    files = sorted(tmp_path.joinpath("c.csv").glob("part-*"))
+    assert len(files) > 1
+    keys = [line.split(",")[0] for f in files for line in f.read_text().splitlines()[1:]]
+    assert keys == sorted(keys) and len(keys) == 4000
+    assert tables.checksum(tables.read_chants(spark, str(tmp_path / "c.csv"), df.schema)) == tables.checksum(df)
+
+
+def test_predictions_of_many_files_keep_their_order(spark, tmp_path):
+    df = spark.range(5000).selectExpr("id * 31 % 5000 as id").selectExpr("id", "int(id % 7) as p").repartition(5)
+    tables.write_predictions(df, str(tmp_path / "p"))
+    assert sorted(map(tuple, tables.read_predictions(spark, str(tmp_path / "p")).collect())) == [(i, i % 7) for i in range(5000)]
+
+
 def test_singular_vectors_without_the_rows(spark):
     x = np.random.default_rng(4).normal(size=(90, 5)) * [9, 4, 3, 2, 1]
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, v array<double>").select("id", array_to_vector("v").alias("features")).repartition(3)
